@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality, simhash
+from tessera.llm import quality, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op6_simhash": simhash.op6_simhash,
+        "op10_secret_scans": secrets.op10_secret_scans,
     }
 
 
