@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality, secrets, simhash
+from tessera.llm import packing, quality, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op6_simhash": simhash.op6_simhash,
         "op10_secret_scans": secrets.op10_secret_scans,
     }
