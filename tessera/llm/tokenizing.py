@@ -25,6 +25,33 @@ from tessera.llm import columns as C
 SPACE = r"[\s\pZ\x1c-\x1f\x{85}]"
 
 
+CLASSES = (r"\p{L}", r"\p{N}", r"\s")
+
+
+@functools.cache
+def unsettled() -> str:
+    """Characters whose class (letter, number, white space) differs between Unicode 3.2 and the newest known here.
+
+    Libraries carry different Unicode versions, so texts with such characters take the library's own
+    path where there is one.
+    """
+    import regex
+
+    chars = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    new = [set(regex.findall(c, chars)) for c in CLASSES]
+    old = unicodedata.ucd_3_2_0
+    return "".join(c for c in chars if [c in x for x in new] != [(k := old.category(c))[0] == "L", k[0] == "N", k[0] == "Z" or c in "\t\n\v\f\r\x85"])
+
+
+@functools.cache
+def unsettled_class() -> str:
+    """A bracketed regular expression of :func:`unsettled`, for RE2 and Python alike."""
+    codes = np.array([ord(c) for c in unsettled()])
+    edges = np.flatnonzero(np.diff(codes) > 1)
+    firsts, lasts = codes[np.append(0, edges + 1)], codes[np.append(edges, len(codes) - 1)]
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(firsts, lasts)) + "]"
+
+
 def distinct(parts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The distinct parts, and the code of each part among them."""
     coded = parts.dictionary_encode()
@@ -77,15 +104,20 @@ class ByteBPE(Encoder):
     belongs to what follows it. Where a run of white space could reach over a cut, the text is whole.
     """
 
-    def __init__(self, rank_file: str, pattern: str = public_tokenizers.PATTERN, special: dict[str, int] | None = None):
+    def __init__(self, rank_file: str, pattern: str = public_tokenizers.PATTERN, special: dict[str, int] | None = None, library_file: str | None = None):
+        from tokenizers import Tokenizer
+
         ranks = load_ranks(rank_file)
         self.special = special or {}
+        self.library = Tokenizer.from_file(library_file) if library_file else None
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.token_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         for piece, rank in ranks.items():
             self.token_bytes[rank] = len(piece)
 
     def whole(self, text: str) -> np.ndarray:
+        if self.library is not None and re.search(unsettled_class(), text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         if not any(s in text for s in self.special):
             return self._ids(text)
         split = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text)
@@ -94,8 +126,13 @@ class ByteBPE(Encoder):
     def _ids(self, text: str) -> np.ndarray:
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
 
+    def _many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of several texts on end, and the size of each."""
+        found = [self._ids(t) for t in texts]
+        return np.concatenate(found) if found else np.zeros(0, np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
     def odd(self, texts: pa.Array) -> np.ndarray:
-        out = pc.match_substring_regex(texts, f"{SPACE} ({SPACE}|$)")
+        out = pc.match_substring_regex(texts, f"{SPACE} ({SPACE}|$)|{unsettled_class()}")
         for s in self.special:
             out = pc.or_(out, pc.match_substring(texts, s))
         return out.to_numpy(zero_copy_only=False)
@@ -110,16 +147,11 @@ class ByteBPE(Encoder):
         ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), offsets[1:], side="right")
         sizes = np.zeros(len(parts), np.int64)
         sizes[~blank] = np.diff(np.append(0, ends))
-        lone = {int(i): self._ids(parts[int(i)].as_py()) for i in np.flatnonzero(blank)}
-        for i, x in lone.items():
-            sizes[i] = len(x)
+        spots = np.flatnonzero(blank)
+        lone, sizes[spots] = self._many([parts[int(i)].as_py() for i in spots])
         out = np.empty(int(sizes.sum()), np.uint32)
-        starts = np.cumsum(sizes) - sizes
-        held = np.ones(len(out), bool)
-        for i, x in lone.items():
-            held[starts[i] : starts[i] + len(x)] = False
-            out[starts[i] : starts[i] + len(x)] = x
-        out[held] = ids
+        alone = np.repeat(blank, sizes)
+        out[~alone], out[alone] = ids, lone
         return out, sizes
 
     def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,10 +162,9 @@ class ByteBPE(Encoder):
         # A text's first part has no space before it; the parts after it do.
         heads, head_code = np.unique(code[bounds[:-1]], return_inverse=True)
         ids, sizes = self._parts(pc.binary_join_element_wise(" ", known, ""))
-        first = [self._ids(known[int(i)].as_py()) for i in heads]
-        first_sizes = np.fromiter(map(len, first), np.int64, len(first))
+        first, first_sizes = self._many([known[int(i)].as_py() for i in heads])
         code[bounds[:-1]] = len(known) + head_code
-        ids, part_sizes = gather(np.concatenate([ids, *first]), np.append(sizes, first_sizes), code)
+        ids, part_sizes = gather(np.append(ids, first), np.append(sizes, first_sizes), code)
         return ids, part_sizes, bounds
 
 
@@ -180,7 +211,7 @@ class WordBPE(Encoder):
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def odd(self, texts: pa.Array) -> np.ndarray:
-        out = pc.match_substring_regex(texts, r"[\x00\x1c-\x1f]")
+        out = pc.match_substring_regex(texts, r"[\x00\x1c-\x1f]|" + unsettled_class())
         for s in self.special:
             out = pc.or_(out, pc.match_substring(texts, s, ignore_case=True))
         return out.to_numpy(zero_copy_only=False)
@@ -213,9 +244,9 @@ def load_ranks(file: str) -> dict[bytes, int]:
 
 
 @functools.cache
-def byte_bpe(file: str = public_tokenizers.path("byte_bpe_50k.tiktoken"), special: tuple = (("<|endoftext|>", 50256),)) -> ByteBPE:
-    """The encoder of a rank file, one a worker."""
-    return ByteBPE(file, special=dict(special))
+def byte_bpe(file: str = public_tokenizers.path("byte_bpe_50k.tiktoken"), library: str = public_tokenizers.path("byte_bpe_50k.json"), special: tuple = (("<|endoftext|>", 50256),)) -> ByteBPE:
+    """The encoder of a rank file and its library's file, one a worker."""
+    return ByteBPE(file, special=dict(special), library_file=library)
 
 
 @functools.cache
