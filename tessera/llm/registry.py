@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, packing, quality, secrets, simhash
+from tessera.llm import bpe, packing, quality, secrets, simhash, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_token_counts": token_counts.op3_token_counts,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_simhash": simhash.op6_simhash,
         "op10_secret_scans": secrets.op10_secret_scans,
