@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, packing, quality, secrets, simhash, token_counts
+import corpus_pipeline
+from tessera.llm import bpe, packing, quality, secrets, simhash, token_counts, token_files
 
 
 def queries() -> dict:
@@ -12,7 +13,9 @@ def queries() -> dict:
         "op3_token_counts": token_counts.op3_token_counts,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_simhash": simhash.op6_simhash,
+        "op7_token_files": token_files.op7_token_files,
         "op10_secret_scans": secrets.op10_secret_scans,
+        "pipeline": corpus_pipeline.run,
     }
 
 
