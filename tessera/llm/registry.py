@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import bpe, packing, quality, secrets, simhash, token_counts, token_files, topk
+from tessera.llm import bpe, html, packing, quality, secrets, simhash, token_counts, token_files, topk
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_simhash": simhash.op6_simhash,
         "op7_token_files": token_files.op7_token_files,
+        "op8_html_extraction": html.op8_html_extraction,
         "op9_top_k": topk.op9_top_k,
         "op10_secret_scans": secrets.op10_secret_scans,
         "pipeline": corpus_pipeline.run,
