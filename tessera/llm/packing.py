@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -131,16 +130,18 @@ PLACED = "bin long, offset long, bins long, bound long, room long"
 def packed(items: DataFrame, capacity: int) -> DataFrame:
     """Pack each group of ``items(grp, length, ...)``; adds the bin, the place in it, its room, and the group's bins and bound."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        lengths = frame["length"].to_numpy(np.int64)
+    def run(group: pa.Table) -> pa.Table:
+        lengths = group.column("length").to_numpy().astype(np.int64)
         bins, offsets = best_fit(lengths, capacity)
         n = int(bins.max()) + 1 if len(bins) else 0
         room = capacity - np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        return frame.assign(bin=bins, offset=offsets, bins=n, bound=bound, room=room[bins])
+        for name, values in (("bin", bins), ("offset", offsets), ("bins", np.full(len(bins), n)), ("bound", np.full(len(bins), bound)), ("room", room[bins])):
+            group = group.append_column(name, pa.array(values, pa.int64()))
+        return group
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    return items.groupBy("grp").applyInPandas(run, f"{schema}, {PLACED}")
+    return items.groupBy("grp").applyInArrow(run, f"{schema}, {PLACED}")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION, rounds: int = ROUNDS) -> DataFrame:

@@ -25,7 +25,7 @@ def texts() -> list[str | None]:
 
 def docs(spark, extra: bool = False):
     rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts())]
-    rows += [rows[5], rows[5], (None, "no id here", "en", None, None), (None, None, None, None, None)]
+    rows += [rows[5], rows[5], ((1 << 62) + 1, "a large id", "en", "s", 10), (None, "no id here", "en", None, None), (None, None, None, None, None)]
     df = spark.createDataFrame(rows, DOCS)
     if extra:  # names that an operator might use itself
         from pyspark.sql import functions as F
