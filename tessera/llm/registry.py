@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import bpe, html, packing, quality, secrets, simhash, token_counts, token_files, topk
+from tessera.llm import bpe, html, licenses, packing, quality, secrets, simhash, token_counts, token_files, topk
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op4_license_scans": licenses.op4_license_scans,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_simhash": simhash.op6_simhash,
         "op7_token_files": token_files.op7_token_files,
