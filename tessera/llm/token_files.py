@@ -38,6 +38,8 @@ END_ID = 1
 FILE = "word_bpe_49k.json"
 SEGMENT_VALUES = 1 << 20
 ENCODE_BYTES = 16 << 20
+#: Segments whose places are sent to all tasks (24 bytes each); beyond, they are joined by a shuffle.
+SENT_SEGMENTS = 1 << 18
 BLOCK = 512  # bits of a rank directory's block
 HEAD = struct.Struct("<4sBBHIQ")
 
@@ -163,8 +165,9 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     parts = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("part_base"))
     inside = Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     seg = files.select("part", "seg", F.coalesce(F.sum("n_values").over(inside), F.lit(0)).alias("seg_base"))
-    bases = seg.join(parts, "part").select("part", "seg", (F.col("part_base") + F.col("seg_base")).alias("base"))
-    return files.join(bases, ["part", "seg"])
+    bases = Scratch(spark, "bases").table(seg.join(parts, "part").select("part", "seg", (F.col("part_base") + F.col("seg_base")).alias("base")))
+    # A few bytes for each segment of a million ids; sent to all tasks up to a bound, so that payloads need no shuffle.
+    return files.join(F.broadcast(bases) if bases.count() <= SENT_SEGMENTS else bases, ["part", "seg"])
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
