@@ -51,6 +51,8 @@ TEMPLATES = [
 GRAM = 3
 #: Diagonals at most so far apart are one run.
 DRIFT = 3
+#: Votes that a run needs to be verified, as a share of its template's positions.
+LEAST_VOTES = 0.25
 #: Share of a template's words that a run must hold, in order.
 LEAST_SHARE = 0.85
 #: Templates sent to all tasks: words in all, checked. Candidate texts are sent up to this many bytes, and joined beyond.
@@ -148,14 +150,14 @@ def _gram_column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def templates_table(spark, templates=TEMPLATES) -> DataFrame:
-    """``(template, tpos, gram)`` of all templates; its size is fixed by the list and checked."""
+    """``(template, tpos, gram, size)`` of all templates; its size is fixed by the list and checked."""
     rows = []
     for t, (_, text) in enumerate(templates):
         values, _ = Hashed(pa.array([text])).grams(GRAM)
-        rows += [(t, i, int(g)) for i, g in enumerate(values)]
+        rows += [(t, i, int(g), len(values)) for i, g in enumerate(values)]
     if len(rows) > TEMPLATE_WORDS:
         raise ValueError(f"templates have more than {TEMPLATE_WORDS} words")
-    return spark.createDataFrame(rows, "template int, tpos int, gram long")
+    return spark.createDataFrame(rows, "template int, tpos int, gram long, size int")
 
 
 BASE = "n_words long, n_base long, first_word long, last_word long, base_labels string"
@@ -201,13 +203,14 @@ def base(text: Column | str) -> Column:
 def vote(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """``(key, template, first, last, votes)``: runs of neighbouring diagonals of ``docs(key, text)``, by word places in the text."""
     grams = docs.select("key", F.posexplode(_gram_column("text")).alias("pos", "gram"))
-    hits = grams.join(F.broadcast(templates), "gram").select("key", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"), "pos")
-    lines = hits.groupBy("key", "template", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    hits = grams.join(F.broadcast(templates), "gram").select("key", "template", "size", (F.col("pos") - F.col("tpos")).alias("diagonal"), "pos")
+    lines = hits.groupBy("key", "template", "size", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     along = Window.partitionBy("key", "template").orderBy("diagonal")
     fresh = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= DRIFT, 0).otherwise(1)
     runs = lines.withColumn("fresh", fresh)
     runs = runs.withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("key", "template", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("votes").alias("votes")).drop("run")
+    runs = runs.groupBy("key", "template", "size", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("votes").alias("votes"))
+    return runs.where(F.col("votes") >= LEAST_VOTES * F.col("size")).select("key", "template", "first", "last", "votes")
 
 
 def share(template: list[bytes], window: list[bytes]) -> float:
