@@ -1 +1,4 @@
+"""Column functions that give one result in Spark and in standard SQL engines."""
+from tessera.functions.portable import day_of_week, json_long, ntz_trunc, time_bucket
 
+__all__ = ["day_of_week", "json_long", "ntz_trunc", "time_bucket"]

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources import table
+from tessera.functions import day_of_week, json_long, ntz_trunc, time_bucket
+from tessera.operators import asof_join, interval_join, not_in, salted_join, sessions, top_k_per_group
+from tessera import streaming
+from tessera.sources import TABLES, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,3 +48,222 @@ def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
         )
     )
+
+
+def sql(name: str, text: str, reference: str | None = None) -> None:
+    """Register a query that is SQL in both engines: tables stand in braces; ``reference`` where the texts differ."""
+    used = [t for t in TABLES if "{" + t + "}" in text]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLE_SQL[name] = (reference or text).replace("{", "").replace("}", "")
+
+
+# Projections and filters
+sql("filter_pushdown", "SELECT l_orderkey, l_partkey, l_quantity FROM {lineitem} WHERE l_quantity BETWEEN 10 AND 12 AND l_returnflag IN ('A', 'R') AND l_discount < 0.02")
+sql("case_and_like", """
+SELECT p_brand, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS size_class, count(*) AS n
+FROM {part} WHERE p_name LIKE '%a%' AND p_type NOT LIKE 'x%' GROUP BY 1, 2""")
+
+# Joins
+sql("join_left", "SELECT o_orderkey, count(l_orderkey) AS n_lines FROM {orders} LEFT JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+sql("join_full", """
+SELECT coalesce(a.k, b.k) AS nation, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM {customer} WHERE c_nationkey < 15 GROUP BY 1) a
+FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM {supplier} WHERE s_nationkey > 8 GROUP BY 1) b ON a.k = b.k""")
+sql("join_semi", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_quantity > 48)")
+sql("join_anti", "SELECT o_orderkey FROM {orders} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey)")
+sql("join_theta", "SELECT a.n_name AS one, b.n_name AS other FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+sql("join_lateral_top", """
+SELECT c_custkey, t.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t""")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def join_null_aware_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    return not_in(table(spark, sf_dir, "customer"), "c_custkey", done, "o_custkey").select("c_custkey")
+
+
+@query("""
+SELECT e.event_id, e.user_id, p.amount AS last_amount FROM (SELECT * FROM events WHERE event_type = 'click') e
+ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS amount FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts
+""")
+def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    clicks = events.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    bought = events.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("last_amount"))
+    return asof_join(clicks, bought.withColumnRenamed("ts", "bought_ts"), ["user_id"], "ts", "bought_ts", ["last_amount"]).select("event_id", "user_id", "last_amount")
+
+
+@query("""
+SELECT p_partkey, s_suppkey FROM part JOIN (SELECT s_suppkey, s_acctbal AS lo, s_acctbal + 25 AS hi FROM supplier) s ON p_retailprice >= lo AND p_retailprice < hi
+""")
+def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 25).alias("hi"))
+    return interval_join(table(spark, sf_dir, "part"), spans, "p_retailprice", "lo", "hi", 25.0).select("p_partkey", "s_suppkey")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_quantity", "l_linenumber")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderpriority")
+    return salted_join(lines, orders, "k", 4).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+# Aggregations
+sql("aggregate_basic", """
+SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, min(l_discount) AS least, max(l_tax) AS most
+FROM {lineitem} GROUP BY l_returnflag, l_linestatus""")
+sql("aggregate_distinct", "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT value) AS amounts FROM {events} GROUP BY event_type")
+sql("aggregate_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+sql("aggregate_cube", "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS BIGINT) AS whole, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)")
+sql("aggregate_grouping_sets", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM {customer} GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())")
+sql("aggregate_filter_having", "SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM {orders} GROUP BY o_custkey HAVING count(*) > 11")
+sql("aggregate_statistics", """
+SELECT c_mktsegment, round(stddev_samp(c_acctbal), 4) AS spread, round(median(c_acctbal), 4) AS middle, round(corr(c_acctbal, c_custkey), 8) AS r, min_by(c_name, c_acctbal) AS poorest, bool_and(c_acctbal > -1000) AS solvent
+FROM {customer} GROUP BY c_mktsegment""")
+
+
+@query("SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, count(*) AS turns FROM conversations GROUP BY conv_id")
+def aggregate_ordered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["role"]), ">").alias("roles"), F.count("*").alias("turns"))
+
+
+@query("""
+SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS "view" FROM events GROUP BY user_id
+""")
+def aggregate_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.count(F.lit(1)))
+    return counted.na.fill(0)
+
+
+@query("SELECT s_suppkey, name, amount FROM (SELECT s_suppkey, s_acctbal AS balance, CAST(s_nationkey AS DOUBLE) AS nation FROM supplier) UNPIVOT (amount FOR name IN (balance, nation))")
+def aggregate_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("double").alias("nation"))
+    return wide.unpivot("s_suppkey", ["balance", "nation"], "name", "amount")
+
+
+# Windows
+sql("window_ranks", """
+SELECT c_custkey, CAST(rank() OVER w AS BIGINT) AS r, CAST(dense_rank() OVER w AS BIGINT) AS d, CAST(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS BIGINT) AS q, round(percent_rank() OVER w, 8) AS p, round(cume_dist() OVER w, 8) AS c
+FROM {customer} WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal)""")
+sql("window_neighbours", """
+SELECT event_id, lag(value) OVER w AS before, lead(event_type, 2) OVER w AS later, first_value(event_id) OVER w AS first_id, nth_value(event_id, 2) OVER w AS second_id
+FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+sql("window_frames", """
+SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS recent,
+  count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 100 PRECEDING AND 100 FOLLOWING) AS near FROM {orders}""")
+
+
+@query("""
+SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders) WHERE rank <= 3
+""")
+def window_top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return top_k_per_group(orders, ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rank")
+
+
+# Order, limits and sets
+sql("order_top", "SELECT c_custkey, c_acctbal FROM {customer} ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 10")
+sql("set_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
+sql("set_union_all", "SELECT n_regionkey AS k FROM {nation} UNION ALL SELECT r_regionkey FROM {region}")
+sql("set_intersect_all", "SELECT o_custkey AS k FROM {orders} INTERSECT ALL SELECT l_suppkey FROM {lineitem}")
+sql("set_except", "SELECT o_orderkey AS k FROM {orders} EXCEPT SELECT l_orderkey FROM {lineitem}")
+sql("set_except_all", "SELECT l_orderkey AS k FROM {lineitem} EXCEPT ALL SELECT o_orderkey FROM {orders}")
+
+# Subqueries and common tables
+sql("cte_above_average", """
+WITH spent AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY o_custkey)
+SELECT o_custkey, total FROM spent WHERE total > (SELECT avg(total) FROM spent)""")
+sql("cte_recursive", "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
+sql("subquery_correlated", "SELECT o_orderkey FROM {orders} o WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM {orders} i WHERE i.o_custkey = o.o_custkey)")
+
+# Scalar functions
+sql("functions_string", """
+SELECT p_partkey, substring(p_name, 2, 5) AS part, length(p_name) * CAST(1 AS BIGINT) AS size, lower(p_type) AS low, replace(p_brand, '#', '-') AS brand, CAST(levenshtein(p_name, p_type) AS BIGINT) AS distance, concat_ws('/', p_brand, p_type) AS joined, lpad(p_brand, 12, '.') AS padded
+FROM {part}""")
+sql("functions_math", "SELECT l_orderkey, l_linenumber, round(ln(l_extendedprice), 8) AS lg, round(sqrt(l_quantity), 8) AS root, CAST(l_partkey % 7 AS BIGINT) AS m, abs(l_discount - l_tax) AS gap, CAST(floor(l_extendedprice / 100) AS BIGINT) AS hundreds, greatest(l_discount, l_tax) AS top FROM {lineitem} WHERE l_orderkey < 500")
+
+
+@query("SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, CAST(extract(dow FROM o_orderdate) AS BIGINT) AS dow, CAST(extract(year FROM o_orderdate) AS BIGINT) AS year, CAST(extract(quarter FROM o_orderdate) AS BIGINT) AS quarter, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS days FROM orders")
+def functions_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", ntz_trunc("month", "o_orderdate").alias("month"), day_of_week("o_orderdate").alias("dow"), F.year(at).cast("long").alias("year"),
+        F.quarter(at).cast("long").alias("quarter"), F.datediff(F.to_date(at), F.lit("1995-01-01").cast("date")).cast("long").alias("days"),
+    )
+
+
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
+def functions_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(json_long("props", "k").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dims, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS positive, list_max(embedding) AS top, embedding[1] AS head FROM embeddings
+""")
+def functions_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.size(e).cast("long").alias("dims"), F.size(F.filter(e, lambda x: x > 0)).cast("long").alias("positive"), F.array_max(e).alias("top"), F.get(e, F.lit(0)).alias("head"),
+    )
+
+
+@query("SELECT label, i, count(*) AS n FROM (SELECT label, unnest(range(0, 64)) AS i, unnest(embedding) AS x FROM embeddings) WHERE x > 0.3 GROUP BY ALL")
+def functions_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    return flat.where(F.col("x").cast("double") > 0.3).groupBy("label", F.col("i").cast("long").alias("i")).agg(F.count("*").alias("n"))
+
+
+# Event time
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def time_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(time_bucket("ts", 3600).alias("start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""
+SELECT start, count(*) AS n FROM (SELECT unnest([b, b - INTERVAL '30 minutes']) AS start FROM (SELECT time_bucket(INTERVAL '30 minutes', ts) AS b FROM events)) GROUP BY 1
+""")
+def time_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return seen.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""
+WITH f AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL '2 hours' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM f)
+SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n_events FROM s GROUP BY user_id, session
+""")
+def time_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", 7200)
+
+
+# Streams, run over all there is; windows that the last watermark has not passed stay open, so they have no SQL
+@query()
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = streaming.event_stream(spark, f"{sf_dir}/events.parquet")
+    return streaming.run_available(spark, streaming.tumbling_counts(events, "1 day"), "tumbling").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query()
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = streaming.event_stream(spark, f"{sf_dir}/events.parquet")
+    return streaming.run_available(spark, streaming.session_counts(events, "2 hours"), "sessions").select("user_id", "n")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = streaming.event_stream(spark, f"{sf_dir}/events.parquet")
+    return streaming.run_available(spark, streaming.distinct_events(events).select("event_id", "user_id", "event_type"), "distinct")
+
+
+@query("""
+SELECT a.user_id, a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '30 minutes'
+WHERE a.event_type = 'view' AND b.event_type = 'purchase'
+""")
+def stream_follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = lambda kind: streaming.event_stream(spark, f"{sf_dir}/events.parquet").where(F.col("event_type") == kind)
+    return streaming.run_available(spark, streaming.follow_ups(seen("view"), seen("purchase"), "30 MINUTES"), "follow-ups")
