@@ -134,7 +134,9 @@ def count_long(texts: DataFrame, scratch: Scratch, size: int = CHUNK, overlap: i
     """``(key, n_tokens)`` of every distinct key of ``texts(key, text)``."""
     done, left = [], texts
     while True:
-        counts = scratch.table(splice(encode_chunks(chunks(left, size, overlap), file)))
+        # Written down, as the splice reads what chunks tell twice.
+        told = scratch.table(encode_chunks(chunks(left, size, overlap), file))
+        counts = scratch.table(splice(told))
         done.append(counts.where("aligned").select("key", "n_tokens"))
         failed = counts.where("not aligned").select("key")
         if failed.isEmpty():
