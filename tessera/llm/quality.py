@@ -73,7 +73,7 @@ def suffix_ranks(codes: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
             rank[active] = group + run - np.maximum.accumulate(np.where(head, at, 0))
         else:
             rank[active] = run
-        levels.append(rank.copy())
+        levels.append(rank.astype(np.int32))  # a step or a single text holds far under 2**31 words
         shared = ~first
         shared[:-1] |= ~first[1:]
         active = active[shared]
