@@ -167,3 +167,50 @@ def op10_secret_scans(spark, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(told(F.filter("found", lambda s: s["kind"] < 3)), 256).alias("base_sha256"), told(F.col("found")).alias("spans"),
     )
+
+
+def _reference_sql() -> str:
+    """The query in DuckDB's SQL, from the same patterns and thresholds."""
+    # Its regular expressions fold more than A-Z, so both cases are spelt out.
+    names = ASSIGN[ASSIGN.index("(?i:(") + 5 : ASSIGN.index("))")]
+    spelt = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in names)
+    assign = ASSIGN.replace(f"(?i:({names}))", f"({spelt})")
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    size = "list_transform({}, lambda x: length(x))"
+
+    def matched(name: str, source: str, text: str, pattern: str, good: str) -> str:
+        return f"""{name} AS (SELECT *, list_transform(range(1, len(m) + 1), lambda i: {good}) AS ok FROM (
+          SELECT *, string_split_regex({text}, {q(pattern)}) AS g,
+            regexp_extract_all({text}, {q(pattern)}, 0) AS m{", regexp_extract_all(" + text + ", " + q(pattern) + ", 2) AS v" if pattern == assign else ""} FROM {source}))"""
+
+    def found(kind: int, name: str) -> str:
+        start = f"list_sum({size.format('g[1:i]')}) + coalesce(list_sum({size.format('m[1:i-1]')}), 0)"
+        return f"SELECT row, {kind} AS kind, s AS start, s + n AS stop FROM (SELECT row, unnest(list_transform(range(1, len(m) + 1), lambda i: {start})) AS s, unnest({size.format('m')}) AS n, unnest(ok) AS good FROM {name}) WHERE good"
+
+    blank = "list_aggregate(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i > len(m) THEN '' WHEN ok[i] THEN repeat(' ', length(m[i])) ELSE m[i] END), 'string_agg', '')"
+    digits, letters = "length(regexp_replace(m[i], '[^0-9]', '', 'g'))", "length(regexp_replace(m[i], '[^A-Za-z]', '', 'g'))"
+    best = f"list_max(list_transform(range(1, length(m[i]) - {WINDOW - 2}), lambda s: list_entropy(string_split(substr(m[i], s, {WINDOW}), ''))))"
+    secret = f"""CASE WHEN regexp_matches(m[i], {q(ALLOWED)}) THEN false
+      WHEN regexp_matches(m[i], '^[0-9a-fA-F]+$') THEN {digits} >= 3 AND {letters} >= 3 AND {best} >= {HEX_BITS}
+      WHEN {digits} >= 2 AND regexp_matches(m[i], '[a-z]') AND regexp_matches(m[i], '[A-Z]') THEN {best} >= {MIXED_BITS}
+      ELSE {digits} >= 4 AND {letters} >= 4 AND {best} >= {LOWER_BITS} END"""
+    told = "coalesce(string_agg(CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'entropy' END || ':' || start || ':' || stop, ',' ORDER BY start, kind){}, '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS row FROM documents),
+{matched("assigned", "d", "t", assign, f"length(v[i]) >= {ASSIGN_LEAST}")},
+{matched("accessed", "d", "t", ACCESS, "true")},
+{matched("hexed", "d", "t", HEX, "true")},
+b0 AS (SELECT row, {blank} AS t FROM assigned),
+{matched("a1", "b0", "t", ACCESS, "true")},
+b1 AS (SELECT row, {blank} AS t FROM a1),
+{matched("a2", "b1", "t", HEX, "true")},
+b2 AS (SELECT row, {blank} AS t FROM a2),
+{matched("candidates", "b2", "t", CANDIDATE, secret)},
+spans AS ({found(0, "assigned")} UNION ALL {found(1, "accessed")} UNION ALL {found(2, "hexed")} UNION ALL {found(3, "candidates")}),
+told AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  {told.format(" FILTER (WHERE kind < 3)")} AS base, {told.format("")} AS spans FROM spans GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (row)"""
+
+
+OP10_SQL = _reference_sql()

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pyspark.sql.functions as F
 
 from tessera.llm import secrets
@@ -47,6 +48,9 @@ def test_base_spans_match_plain_regular_expressions(spark, tmp_path):
         want.append((i, n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in found).encode()).hexdigest()))
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
     spans = {r.doc_id: r.spans for r in got}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(secrets.OP10_SQL).fetchall(), key=str)
     assert spans[1000] == "entropy:4:44,entropy:52:92"
     assert "entropy" in spans[1012] and not any("entropy" in spans[i] for i in (1007, 1008, 1009, 1010, 1011))
 
