@@ -200,4 +200,36 @@ def passing(docs: DataFrame, limits: RepetitionLimits = RepetitionLimits(), text
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     """The figures and verdict of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.select("doc_id", quality("text").alias("q")).select("doc_id", "q.*")
+    figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "base_failed", "kept")
+    return docs.select("doc_id", quality("text").alias("q")).select("doc_id", *[f"q.{c}" for c in figures])
+
+
+def _reference_sql(limits: RepetitionLimits = RepetitionLimits()) -> str:
+    """The query in DuckDB's SQL: the union of maximal repeats of k and more words is that of repeated k-word windows."""
+
+    def windows(k: int) -> str:
+        return f"""(SELECT row, i, count(*) OVER (PARTITION BY row, h) AS c FROM (
+          SELECT row, unnest(range(1, n - {k} + 2)) AS i, unnest(list_transform(range(1, n - {k} + 2), lambda i: hash(w[i:i + {k} - 1]))) AS h FROM d WHERE n >= {k}))"""
+
+    def spread(k: int) -> str:
+        return f"""(SELECT row, CAST(sum(least({k}, coalesce(later - i, {k}))) AS BIGINT) AS words FROM (
+          SELECT row, i, lead(i) OVER (PARTITION BY row ORDER BY i) AS later FROM {windows(k)} WHERE c > 1) GROUP BY row)"""
+
+    word = r"[^\x20\x09-\x0D]"
+    return f"""
+WITH d AS (
+  SELECT *, len(w) AS n, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines
+  FROM (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS row, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents)
+), r AS (
+  SELECT d.*, coalesce(base.words, 0) AS rep, coalesce(own.words, 0) AS cov, long.row IS NOT NULL AS too_long
+  FROM d LEFT JOIN {spread(WINDOW)} base USING (row) LEFT JOIN {spread(limits.min_repeat)} own USING (row)
+  LEFT JOIN (SELECT DISTINCT row FROM {windows(limits.max_longest + 1)} WHERE c > 1) long USING (row)
+)
+SELECT doc_id, n AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  rep AS n_repeat_words, cov AS covered_words, n < {MIN_WORDS} OR 100 * rep > {MAX_WINDOW_PERCENT} * n AS base_failed,
+  NOT (n < {MIN_WORDS} OR 100 * rep > {MAX_WINDOW_PERCENT} * n) AND cov <= {limits.max_covered} * n AND NOT too_long AS kept
+FROM r"""
+
+
+OP1_SQL = _reference_sql()

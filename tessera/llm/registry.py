@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_top_k": topk.OP9_SQL, "op10_secret_scans": secrets.OP10_SQL}
+    return {"op1_quality_rules": quality.OP1_SQL, "op9_top_k": topk.OP9_SQL, "op10_secret_scans": secrets.OP10_SQL}

@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,3 +74,17 @@ def test_repeat_lengths(texts):
                 best = max(best, k)
             want.append(best if best >= 3 else 0)
     assert got.tolist() == want
+
+
+def test_sql_agrees(spark, tmp_path):
+    df = cases.docs(spark)
+    long = cases.prose(50, 130)
+    df = df.union(spark.createDataFrame([(900, cases.prose(51, 900) + " " + long + " " + cases.prose(52, 300) + " " + long, "en", "s", 0)], cases.DOCS))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = quality.op1_quality_rules(spark, str(tmp_path))
+    want = con.sql(quality.OP1_SQL)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
+    assert {r.doc_id: r.kept for r in got.collect()}[900] is False
