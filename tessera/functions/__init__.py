@@ -1,4 +1,5 @@
-"""Column functions that give one result in Spark and in standard SQL engines."""
+"""Column functions that give one result in Spark and in standard SQL engines, and vectorised Python ones."""
 from tessera.functions.portable import day_of_week, json_long, ntz_trunc, time_bucket
+from tessera.functions.vectorised import geometric_mean, soundness, words
 
-__all__ = ["day_of_week", "json_long", "ntz_trunc", "time_bucket"]
+__all__ = ["day_of_week", "geometric_mean", "json_long", "ntz_trunc", "soundness", "time_bucket", "words"]

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import day_of_week, json_long, ntz_trunc, time_bucket
-from tessera.operators import asof_join, interval_join, not_in, salted_join, sessions, top_k_per_group
 from tessera import streaming
-from tessera.sources import TABLES, table
+from tessera.functions import day_of_week, geometric_mean, json_long, ntz_trunc, soundness, time_bucket, words
+from tessera.operators import asof_join, interval_join, not_in, salted_join, sessions, top_k_per_group
+from tessera.session import Scratch
+from tessera.sources import TABLES, read_files, table, write_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -241,6 +242,53 @@ def time_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", 7200)
 
 
+# Formats: written to the shared folder and read back with a declared schema
+def _there_and_back(fmt: str, partition_by: tuple[str, ...] = ()):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parts = table(spark, sf_dir, "part")
+        path = f"{Scratch(spark, fmt).root}/part"
+        write_files(parts, path, fmt, partition_by)
+        return read_files(spark, path, fmt, parts.schema).where("p_size > 10").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+
+    run.__name__ = f"source_{fmt}"
+    return query("SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part WHERE p_size > 10")(run)
+
+
+_there_and_back("csv")
+_there_and_back("json")
+_there_and_back("orc")
+_there_and_back("parquet", ("p_size",))
+
+
+@query()
+def sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampling operator: about a tenth of the rows, the same ones each time."""
+    return table(spark, sf_dir, "lineitem").sample(fraction=0.1, seed=7).select("l_orderkey", "l_linenumber")
+
+
+# Python functions over Arrow batches
+@query("SELECT p_partkey, round(length(regexp_replace(p_name, '[^aeiouAEIOU]', '', 'g')) / length(p_name), 8) AS vowels FROM part")
+def python_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(soundness("p_name"), 8).alias("vowels"))
+
+
+@query("SELECT l_returnflag, round(exp(avg(ln(l_extendedprice))), 4) AS typical FROM lineitem GROUP BY l_returnflag")
+def python_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(geometric_mean("l_extendedprice"), 4).alias("typical"))
+
+
+@query("SELECT p_partkey, w AS word, CAST(i - 1 AS INTEGER) AS place FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part)")
+def python_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").lateralJoin(words()(F.col("p_name").outer())).select("p_partkey", "word", "place")
+
+
+@query("SELECT user_id, event_id, round(value - avg(value) OVER (PARTITION BY user_id), 6) AS off FROM events")
+def python_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    centred = lambda f: f.assign(off=(f["value"] - f["value"].mean()).round(6)).drop(columns="value")
+    return events.groupBy("user_id").applyInPandas(centred, "user_id long, event_id long, off double")
+
+
 # Streams, run over all there is; windows that the last watermark has not passed stay open, so they have no SQL
 @query()
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
