@@ -32,11 +32,12 @@ ASSIGN_LEAST = 6
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 WINDOW = 20
+PART = 1 << 16  # characters of a long candidate that are held as an array at once
 HEX_BITS, MIXED_BITS, LOWER_BITS = 3.0, 3.9, 3.8
 #: Suppressed: UUIDs, named digests, plainly made-up values, and paths of plain words.
 ALLOWED = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|^(?i:sha|md)[0-9]+[-_=]"
-    "|(?i:example|sample|dummy|placeholder|changeme|your_|your-|xxxx|012345|123456|abcdef)|^/?([A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,2}$"
+    "|(?i:example|sample|dummy|placeholder|changeme|your_|your-|xxxx|012345|123456|abcdef)|^[A-Za-z/_-]*[/_-][A-Za-z]*[0-9]{0,2}$"
 )
 
 
@@ -68,7 +69,9 @@ def best_entropy(candidate: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy (bits a character) of any ``window`` characters in a row, by incremental counts."""
     weight = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
     weights = F.array(*[F.lit(w) for w in weight])
-    places = F.transform(F.split(candidate, ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
+    # A long candidate goes by parts that overlap by a window less one, so that every window is in one of them.
+    parts = F.transform(F.sequence(F.lit(0), F.length(candidate) - 1, F.lit(PART)), lambda i: candidate.substr(i + 1, F.lit(PART + window - 1)))
+    places = lambda part: F.transform(F.split(part, ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
     start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
 
     def step(state: Column, i: Column, at: Column) -> Column:
@@ -81,10 +84,9 @@ def best_entropy(candidate: Column, window: int = WINDOW) -> Column:
         entropy = F.when(i >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
         return F.struct(counts.alias("counts"), total.alias("total"), F.greatest(state["best"], entropy).alias("best"))
 
-    # A one-element array binds the places, so that they are worked out once a candidate.
-    return F.element_at(
-        F.transform(F.array(places), lambda at: F.aggregate(F.sequence(F.lit(1), F.size(at)), start, lambda state, i: step(state, i, at), lambda state: state["best"])), 1
-    )
+    # A one-element array binds a part's places, so that they are worked out once.
+    best = lambda part: F.element_at(F.transform(F.array(places(part)), lambda at: F.aggregate(F.sequence(F.lit(1), F.size(at)), start, lambda state, i: step(state, i, at), lambda state: state["best"])), 1)
+    return F.array_max(F.transform(parts, best))
 
 
 def is_secret(candidate: Column) -> Column:

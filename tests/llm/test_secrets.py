@@ -55,7 +55,8 @@ def test_base_spans_match_plain_regular_expressions(spark, tmp_path):
     assert "entropy" in spans[1012] and not any("entropy" in spans[i] for i in (1007, 1008, 1009, 1010, 1011))
 
 
-def test_entropy_is_that_of_the_best_window(spark):
+def test_entropy_is_that_of_the_best_window(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "PART", 13)
     r = random.Random(9)
     words = ["".join(r.choice(secrets.ALPHABET[: r.choice([2, 16, 62])]) for _ in range(r.randint(20, 60))) for _ in range(40)] + ["a" * 30]
 
@@ -77,3 +78,11 @@ def test_redaction_masks_all_spans_and_keeps_columns(spark):
     clean = Counter((r.doc_id, r.text) for r in df.collect() if not brute(r.text))
     assert not clean - Counter((r.doc_id, r.text) for r in out.collect())
     assert secrets.redact(df.limit(0)).count() == 0 and secrets.spans(df.limit(0)).count() == 0
+
+
+def test_long_candidates(spark):
+    r = random.Random(1)
+    key = "".join(r.choice(secrets.ALPHABET[:62]) for _ in range(150_000))
+    df = spark.createDataFrame([(0, key), (1, "ab/" * 60_000), (2, "password=" * 20_000), (3, "a1B" * 50_000)], "doc_id long, text string")
+    got = {r.id: [tuple(x) for x in r.found] for r in secrets.spans(df).collect()}
+    assert got[0] == [(0, 3, 150_000)] and got[1] == [] and got[2] == [(0, 0, 180_000)] and got[3] == []
