@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame
@@ -33,7 +33,7 @@ from tessera.llm.tokenizing import CLASSES, ByteBPE, distinct, gather, load_rank
 LONGEST_ROW = 256
 ROWS = 1 << 16  # rows of one matrix
 NONE = np.int32(0x7FFFFFFF)
-ENCODE_BYTES = 8 << 20
+STEP_BYTES = 4 << 20  # bytes of text that a step encodes, or of ids that it decodes
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
 
@@ -224,11 +224,9 @@ def encode(text: Column | str, rank_file: str | None = None) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(rank_file)
         for batch in batches:
-            done = []
-            for texts in C.steps(C.filled(batch), ENCODE_BYTES):
+            for texts in C.steps(C.filled(batch), STEP_BYTES):
                 ids, starts = own.encode(texts)
-                done.append(_binary(ids.astype("<u4"), starts * 4))
-            yield pa.concat_arrays(done) if done else pa.array([], pa.binary())
+                yield _binary(ids.astype("<u4"), starts * 4)
 
     return run(text)
 
@@ -241,13 +239,11 @@ def decode(ids: Column | str, rank_file: str | None = None) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(rank_file)
         for batch in batches:
-            done = []
-            for part in C.steps(batch.cast(pa.binary()), ENCODE_BYTES):
+            for part in C.steps(batch.cast(pa.binary()), STEP_BYTES):
                 flat, offsets = C.raw(part)
                 text, starts = own.decode(np.frombuffer(flat.tobytes(), "<u4"), offsets // 4)
                 out = _binary(text, starts)
-                done.append(pa.compute.if_else(part.is_null(), pa.scalar(None, pa.binary()), out) if part.null_count else out)
-            yield pa.concat_arrays(done) if done else pa.array([], pa.binary())
+                yield pc.if_else(part.is_null(), pa.scalar(None, pa.binary()), out) if part.null_count else out
 
     return run(ids)
 

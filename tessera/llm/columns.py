@@ -67,4 +67,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices ``starts[i] .. starts[i] + lengths[i] - 1`` for all i, on end."""
     total = int(lengths.sum())
     shift = np.cumsum(lengths) - lengths
-    return np.repeat(starts - shift, lengths) + np.arange(total, dtype=np.int64)
+    far = max(total, int((starts + lengths).max(initial=0)))
+    kind = np.int32 if far < 1 << 31 else np.int64  # half the memory where places are small
+    out = np.repeat((starts - shift).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
