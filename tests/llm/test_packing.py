@@ -3,7 +3,6 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
-import pyspark.sql.functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
