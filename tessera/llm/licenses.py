@@ -55,9 +55,8 @@ DRIFT = 3
 LEAST_VOTES = 0.25
 #: Share of a template's words that a run must hold, in order.
 LEAST_SHARE = 0.85
-#: Templates sent to all tasks: words in all, checked. Candidate texts are sent up to this many bytes, and joined beyond.
+#: Templates are sent to all tasks; words in all, checked.
 TEMPLATE_WORDS = 100_000
-SENT_BYTES = 8 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -225,6 +224,33 @@ def share(template: list[bytes], window: list[bytes]) -> float:
     return row[-1] / len(template)
 
 
+def with_hits(texts: DataFrame, templates=TEMPLATES) -> DataFrame:
+    """The rows of ``texts(key, text)`` with enough votes for a template on all diagonals together.
+
+    These are all texts that can have a run, and few others, so verification needs no shuffle of the
+    rest, however many there are.
+    """
+    each = [Hashed(pa.array([t])).grams(GRAM)[0] for _, t in templates]
+    wanted, least = np.unique(np.concatenate(each)), np.array([LEAST_VOTES * len(g) for g in each])
+    holds = np.stack([np.isin(wanted, g) for g in each], axis=1).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.zeros(1 << 16, bool)
+        near[wanted & 0xFFFF] = True
+        for batch in batches:
+            at = 0
+            for part in C.steps(C.filled(batch.column(1))):
+                values, starts = Hashed(part).grams(GRAM)
+                hit = near[values & 0xFFFF]
+                hit[hit] = np.isin(values[hit], wanted)
+                votes = np.zeros((len(part), len(each)), np.int64)
+                np.add.at(votes, np.searchsorted(starts, np.flatnonzero(hit), side="right") - 1, holds[np.searchsorted(wanted, values[hit])])
+                yield batch.slice(at, len(part)).filter(pa.array(((votes >= least) & (votes > 0)).any(axis=1)))
+                at += len(part)
+
+    return texts.select("key", "text").mapInArrow(run, "key string, text string")
+
+
 def verified(runs: DataFrame, texts: DataFrame, templates=TEMPLATES, least: float = LEAST_SHARE) -> DataFrame:
     """``(key, label, score)`` of runs that hold ``least`` of their template, checked word by word on ``texts(key, text)``."""
     split = [words_of(t) for _, t in templates]
@@ -260,11 +286,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Equal texts have equal results, so a text's digest is its key.
     texts = rows.select(F.md5("text").alias("key"), "text")
     runs = scratch.table(vote(texts, templates_table(spark, templates)))
-    keys = runs.select("key").distinct()
-    # Runs are few bytes a text; where they are few in all they go to the texts, else both are shuffled.
-    small = 128 * runs.count() <= SENT_BYTES
-    runs_side = F.broadcast(keys) if small else keys
-    found = verified(runs, texts.join(runs_side, "key", "left_semi").dropDuplicates(["key"]), templates)
+    found = verified(runs, with_hits(texts, templates).dropDuplicates(["key"]), templates)
     by_text = found.groupBy("key").agg(F.collect_set("label").alias("own"), F.max("score").alias("best"))
     based = rows.select("id", F.md5("text").alias("key"), base("text").alias("b")).select("id", "key", "b.*")
     merged = based.join(scratch.table(by_text), "key", "left")
