@@ -187,6 +187,7 @@ sql("functions_string", """
 SELECT p_partkey, substring(p_name, 2, 5) AS part, length(p_name) * CAST(1 AS BIGINT) AS size, lower(p_type) AS low, replace(p_brand, '#', '-') AS brand, CAST(levenshtein(p_name, p_type) AS BIGINT) AS distance, concat_ws('/', p_brand, p_type) AS joined, lpad(p_brand, 12, '.') AS padded
 FROM {part}""")
 sql("functions_math", "SELECT l_orderkey, l_linenumber, round(ln(l_extendedprice), 8) AS lg, round(sqrt(l_quantity), 8) AS root, CAST(l_partkey % 7 AS BIGINT) AS m, abs(l_discount - l_tax) AS gap, CAST(floor(l_extendedprice / 100) AS BIGINT) AS hundreds, greatest(l_discount, l_tax) AS top FROM {lineitem} WHERE l_orderkey < 500")
+sql("functions_math_whole", "SELECT l_orderkey, l_linenumber, round(ln(l_extendedprice), 8) AS lg, round(sqrt(l_quantity), 8) AS root, CAST(l_partkey % 7 AS BIGINT) AS m, abs(l_discount - l_tax) AS gap, CAST(floor(l_extendedprice / 100) AS BIGINT) AS hundreds, greatest(l_discount, l_tax) AS top FROM {lineitem}")
 
 
 @query("SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, CAST(extract(dow FROM o_orderdate) AS BIGINT) AS dow, CAST(extract(year FROM o_orderdate) AS BIGINT) AS year, CAST(extract(quarter FROM o_orderdate) AS BIGINT) AS quarter, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS days FROM orders")
