@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from tessera.session import Scratch
 
 
-def event_stream(spark: SparkSession, path: str, late: str = "1 hour", files_per_trigger: int = 16) -> DataFrame:
-    """New Parquet files of events as a stream; ``ts`` becomes a timestamp, as watermarks need."""
+def event_stream(spark: SparkSession, path: str, late: str = "1 hour", files_per_trigger: int | None = None) -> DataFrame:
+    """New Parquet files of events as a stream; ``ts`` becomes a timestamp, as watermarks need.
+
+    All files there are go into one batch, so none of their rows is late, whatever their order. With
+    ``files_per_trigger`` they are dealt to batches, and the files must be in time order up to ``late``.
+    """
     schema = spark.read.parquet(path).schema
     # As a pattern, so that a table may be one file or a folder of files.
     pattern = f"{path[:-1]}[{path[-1]}]"
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    rows = reader.parquet(pattern)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
