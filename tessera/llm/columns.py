@@ -72,3 +72,92 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out = np.repeat((starts - shift).astype(kind), lengths)
     out += np.arange(total, dtype=kind)
     return out
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+
+#: A-Z in lower case, all other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Bytes of words between ASCII white space.
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """64-bit values with every bit spread over all others."""
+    with np.errstate(over="ignore"):
+        values = values ^ (values >> np.uint64(29))
+        values = values * np.uint64(0xBF58476D1CE4E5B9)
+        return values ^ (values >> np.uint64(32))
+
+
+class HashedWords:
+    """The words of a column of texts: their 64-bit hashes on end, and where each text's words begin.
+
+    A-Z count as lower case; ``word`` says which bytes words are made of.
+    """
+
+    def __init__(self, texts: pa.Array, word: np.ndarray = NOT_SPACE):
+        data, offsets = raw(texts)
+        self.data = LOWER[data]
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = word[self.data]
+        edge = np.diff(inside.astype(np.int8))
+        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self._cut(offsets)
+        self.bounds = np.searchsorted(self.starts, offsets)
+        n = len(data)
+        powers = np.empty(n + 1, np.uint64)
+        powers[0] = 1
+        with np.errstate(over="ignore"):
+            powers[1:] = _BASE
+            np.multiply.accumulate(powers, out=powers)
+            totals = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=totals[1:])
+            # Each word's sum, shifted to the same power whatever its place.
+            value = (totals[self.ends] - totals[self.starts]) * powers[n - self.starts]
+            value *= np.uint64(pow(int(_BASE), -n, 1 << 64))
+        self.hashes = mixed(value)
+
+    def _cut(self, offsets: np.ndarray) -> None:
+        """End words where their text ends, even if the next text begins with more of a word."""
+        if not len(self.starts):
+            return
+        inner = offsets[1:-1]
+        at = np.searchsorted(self.starts, inner, side="left") - 1
+        crossed = np.unique(inner[(at >= 0) & (self.starts[np.maximum(at, 0)] < inner) & (self.ends[np.maximum(at, 0)] > inner)])
+        self.starts = np.sort(np.append(self.starts, crossed))
+        self.ends = np.sort(np.append(self.ends, crossed))
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rolling hashes of k words, of each text by itself, and where each text's begin."""
+        n = max(0, len(self.hashes) - k + 1)
+        out = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(k):
+                out = out * _STEP + self.hashes[j : j + n]
+        counts = np.maximum(np.diff(self.bounds) - k + 1, 0)
+        return out[ragged(self.bounds[:-1], counts)].view(np.int64), np.append(0, np.cumsum(counts))
+
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`grams`, but a text with fewer words has one of all its words."""
+        values, starts = self.grams(k)
+        held = np.diff(self.bounds)
+        short = np.flatnonzero((held > 0) & (held < k))
+        if not len(short):
+            return values, starts
+        folded = np.zeros(len(short), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(k - 1):
+                there = held[short] > j
+                folded[there] = folded[there] * _STEP + self.hashes[self.bounds[short[there]] + j]
+        counts = np.diff(starts)
+        counts[short] = 1
+        fresh = np.append(0, np.cumsum(counts))
+        out = np.empty(fresh[-1], np.int64)
+        own = np.ones(len(out), bool)
+        own[fresh[short]] = False
+        out[own], out[fresh[short]] = values, folded.view(np.int64)
+        return out, fresh

@@ -58,79 +58,18 @@ LEAST_SHARE = 0.85
 #: Templates are sent to all tasks; words in all, checked.
 TEMPLATE_WORDS = 100_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _fold_table() -> tuple[np.ndarray, np.ndarray]:
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
-    word = np.zeros(256, bool)
-    word[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-    return lower, word
-
-
-LOWER, WORD = _fold_table()
+WORD = np.zeros(256, bool)
+WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 def words_of(text: str) -> list[bytes]:
-    data = LOWER[np.frombuffer(text.encode(), np.uint8)]
+    data = C.LOWER[np.frombuffer(text.encode(), np.uint8)]
     data[~WORD[data]] = 32
     return data.tobytes().split()
 
 
-class Hashed:
-    """The words of a column of texts: their 64-bit hashes on end, and where each text's words begin."""
-
-    def __init__(self, texts: pa.Array):
-        data, offsets = C.raw(texts)
-        self.data = LOWER[data]
-        inside = np.zeros(len(data) + 2, bool)
-        inside[1:-1] = WORD[self.data]
-        edge = np.diff(inside.astype(np.int8))
-        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self._cut(offsets)
-        self.bounds = np.searchsorted(self.starts, offsets)
-        n = len(data)
-        powers = np.empty(n + 1, np.uint64)
-        powers[0] = 1
-        with np.errstate(over="ignore"):
-            powers[1:] = _BASE
-            np.multiply.accumulate(powers, out=powers)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-            # Each word's sum, shifted to the same power whatever its place.
-            value = (sums[self.ends] - sums[self.starts]) * powers[n - self.starts]
-            value *= self._unshift(n)
-            value ^= value >> np.uint64(29)
-            value *= np.uint64(0xBF58476D1CE4E5B9)
-            value ^= value >> np.uint64(32)
-        self.hashes = value
-
-    def _cut(self, offsets: np.ndarray) -> None:
-        """End words where their text ends, even if the next text begins with more of a word."""
-        if not len(self.starts):
-            return
-        inner = offsets[1:-1]
-        at = np.searchsorted(self.starts, inner, side="left") - 1
-        crossed = np.unique(inner[(at >= 0) & (self.starts[np.maximum(at, 0)] < inner) & (self.ends[np.maximum(at, 0)] > inner)])
-        self.starts = np.sort(np.append(self.starts, crossed))
-        self.ends = np.sort(np.append(self.ends, crossed))
-
-    @staticmethod
-    def _unshift(n: int) -> np.uint64:
-        """The inverse of base**n, so that a word's hash doesn't depend on the step that it is in."""
-        return np.uint64(pow(int(_BASE), -n, 1 << 64))
-
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rolling hashes of k words, of each text by itself, and where each text's begin."""
-        n = max(0, len(self.hashes) - k + 1)
-        out = np.zeros(n, np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(k):
-                out = out * _STEP + self.hashes[j : j + n]
-        counts = np.maximum(np.diff(self.bounds) - k + 1, 0)
-        return out[C.ragged(self.bounds[:-1], counts)].view(np.int64), np.append(0, np.cumsum(counts))
+def Hashed(texts: pa.Array) -> C.HashedWords:
+    return C.HashedWords(texts, WORD)
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
