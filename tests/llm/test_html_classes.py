@@ -1,14 +1,15 @@
-from tessera.llm import html
+from tests.llm.test_html import texts_of
 
 
-def test_parts_of_classes_set_nothing_apart():
-    for tag in ('article class="post has-sidebar"', 'div id="content" class="with-comments"', 'div class="search-results-article"', 'article class="category-ad"', 'article class="ad"', 'div role="main" class="banner"'):
-        page = f'<nav>Menu</nav><{tag}><p>Main text</p></{tag.split()[0]}><div class="site-footer">Foot</div><div class="ad">Buy</div>'
-        assert html.extract([page]) == ["Main text"], tag
-    assert html.extract(['<div class="sidebar-left"><p>Side</p></div><div class="banner"><main><p>Main text</p></main></div>']) == ["Main text"]
+def test_parts_of_classes_set_nothing_apart(spark):
+    tags = ('article class="post has-sidebar"', 'div id="content" class="with-comments"', 'div class="search-results-article"', 'article class="category-ad"', 'article class="ad"', 'div role="main" class="banner"')
+    rows = [(i, f"http://{i}/", f'<nav>Menu</nav><{tag}><p>Main text</p></{tag.split()[0]}><div class="site-footer">Foot</div><div class="ad">Buy</div>') for i, tag in enumerate(tags)]
+    rows.append((99, "http://x/", '<div class="sidebar-left"><p>Side</p></div><div class="banner"><main><p>Main text</p></main></div>'))
+    assert set(texts_of(spark, rows).values()) == {"Main text"}
 
 
-def test_running_text_in_an_article_goes_by_the_wrapper():
+def test_running_text_in_an_article_goes_by_the_wrapper(spark):
     page = '<article><p class="notice">{}</p><p>text {}</p><div class="share">Share</div></article>'
-    assert html.extract([page.format(f"Read this {i}", i) for i in range(6)]) == [f"Read this {i}\n\ntext {i}" for i in range(6)]
-    assert html.extract([page.format("Like us", i) for i in range(6)]) == [f"text {i}" for i in range(6)]
+    rows = [(i, "http://a/", page.format(f"Read this {i}", i)) for i in range(10)] + [(100 + i, "http://b/", page.format("Like us", i)) for i in range(10)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == f"Read this {i}\n\ntext {i}" and got[100 + i] == f"text {i}" for i in range(10))
