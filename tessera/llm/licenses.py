@@ -1,15 +1,20 @@
 """Operator 4, license scans by diagonal voting.
 
-Every text's words are hashed, and all rolling k-word hashes are joined by Spark to the positions of
-the same hashes in license templates. A hit votes for its diagonal (place in the text less place in the
-template); votes are summed up by diagonal, diagonals next to each other (words put in or left out)
-are merged, and each merged run is verified word by word against the text, which gives the share of the
-template that is there. Besides, phrases that name a license outright give base labels.
+One pass over the texts hashes every text's words, all rolling k-word hashes and the base phrases. Hashes that no
+template holds are left out where they are made, and so are texts that have too few of a template's hashes in all to be
+able to hold it; what is left is joined by Spark to the positions of the same hashes in the templates. A hit votes for
+its diagonal (place in the text less place in the template); votes are summed up by diagonal, diagonals next to each
+other (words put in or left out) are merged into runs, and every span around the runs is verified word by word: the
+score is the largest share of the template's words that stand in order within a span of twice its length.
+A template needs a quarter of its hashes in the text, however they are spread over runs. Besides, phrases that name a
+license outright give base labels.
 
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are put in lower case.
 
-Defined cases: a null or empty text has no words and labels; null ids and repeated rows each give their
-own row; an empty table gives an empty table.
+Defined cases: a null or empty text has no words and labels; null ids and repeated rows each give their own row, and
+equal texts have equal results however often they occur; of labels with equal scores all stay; a long text is one
+row of words in its task, and its spans are looked at one by one; an empty table gives an empty table; further
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -20,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window
 
 from tessera.llm import columns as C
@@ -51,10 +55,12 @@ TEMPLATES = [
 GRAM = 3
 #: Diagonals at most so far apart are one run.
 DRIFT = 3
-#: Votes that a run needs to be verified, as a share of its template's positions.
+#: Votes that a text needs for a template in all, as a share of the template's positions.
 LEAST_VOTES = 0.25
-#: Share of a template's words that a run must hold, in order.
+#: Share of a template's words that a span must hold, in order.
 LEAST_SHARE = 0.85
+#: Words of a span, for each word of the template.
+SPAN = 2
 #: Templates are sent to all tasks; words in all, checked.
 TEMPLATE_WORDS = 100_000
 
@@ -77,16 +83,6 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return Hashed(pa.array([b" ".join(words).decode()])).hashes
 
 
-@F.arrow_udf(ArrayType(LongType()))
-def _gram_column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        done = [pa.ListArray.from_arrays(pa.array([0], pa.int32()), pa.array([], pa.int64()))]
-        for texts in C.steps(C.filled(batch)):
-            values, starts = Hashed(texts).grams(GRAM)
-            done.append(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values)))
-        yield pa.concat_arrays(done)
-
-
 def templates_table(spark, templates=TEMPLATES) -> DataFrame:
     """``(template, tpos, gram, size)`` of all templates; its size is fixed by the list and checked."""
     rows = []
@@ -99,9 +95,37 @@ def templates_table(spark, templates=TEMPLATES) -> DataFrame:
 
 
 BASE = "n_words long, n_base long, first_word long, last_word long, base_labels string"
-
-
-def measure_base(texts: pa.Array) -> pa.StructArray:
+HITS = "hits array<struct<pos:long,gram:long>>"
+
+
+class Wanted:
+    """The templates' hashes, and which template holds which."""
+
+    def __init__(self, templates=TEMPLATES):
+        each = [Hashed(pa.array([t])).grams(GRAM)[0] for _, t in templates]
+        self.grams = np.unique(np.concatenate([np.zeros(0, np.int64), *each]))
+        self.least = np.array([LEAST_VOTES * len(g) for g in each])
+        # How often a template holds each hash: so many votes does a hit give it.
+        self.votes = np.stack([np.array([np.count_nonzero(g == x) for x in self.grams]) for g in each], axis=1)
+        self.near = np.zeros(1 << 16, bool)
+        self.near[self.grams & 0xFFFF] = True
+
+    def hits(self, hashed: C.HashedWords) -> pa.ListArray:
+        """``(pos, gram)`` of the wanted hashes of each text that can hold a template; none of other texts."""
+        values, starts = hashed.grams(GRAM)
+        at = np.flatnonzero(self.near[values & 0xFFFF])
+        at = at[np.isin(values[at], self.grams)]
+        doc = np.searchsorted(starts, at, side="right") - 1
+        votes = np.zeros((len(starts) - 1, len(self.least)), np.int64)
+        np.add.at(votes, doc, self.votes[np.searchsorted(self.grams, values[at])])
+        able = ((votes >= self.least) & (votes > 0)).any(axis=1)
+        at, doc = at[able[doc]], doc[able[doc]]
+        sizes = np.bincount(doc, minlength=len(starts) - 1)
+        found = pa.StructArray.from_arrays([pa.array(at - starts[doc]), pa.array(values[at])], names=["pos", "gram"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), found)
+
+
+def measure(texts: pa.Array, templates: Wanted) -> pa.StructArray:
     hashed = Hashed(texts)
     n = len(texts)
     bounds, h = hashed.bounds, hashed.hashes
@@ -121,100 +145,85 @@ def measure_base(texts: pa.Array) -> pa.StructArray:
                 labels[doc].add(label)
     columns = [
         pa.array(np.diff(bounds).astype(np.int64)), pa.array([len(p) for p in places], pa.int64()), pa.array([min(p, default=None) for p in places], pa.int64()),
-        pa.array([max(p, default=None) for p in places], pa.int64()), pa.array([",".join(sorted(x)) for x in labels], pa.string()),
+        pa.array([max(p, default=None) for p in places], pa.int64()), pa.array([",".join(sorted(x)) for x in labels], pa.string()), templates.hits(hashed),
     ]
-    return pa.StructArray.from_arrays(columns, names=["n_words", "n_base", "first_word", "last_word", "base_labels"])
+    return pa.StructArray.from_arrays(columns, names=["n_words", "n_base", "first_word", "last_word", "base_labels", "hits"])
 
 
-def base(text: Column | str) -> Column:
-    """A struct of word count, phrase places and base labels (:data:`BASE`) for a text column."""
+def scanned(text: Column | str, templates=TEMPLATES) -> Column:
+    """A struct of word count, phrase places, base labels (:data:`BASE`) and hits (:data:`HITS`) for a text column."""
+    wanted = Wanted(templates)
 
-    @F.arrow_udf(BASE)
+    @F.arrow_udf(f"{BASE}, {HITS}")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             texts = C.filled(batch)
-            yield pa.concat_arrays([measure_base(s) for s in C.steps(texts)] or [measure_base(texts)])
+            yield pa.concat_arrays([measure(s, wanted) for s in C.steps(texts)] or [measure(texts, wanted)])
 
     return run(text)
 
 
-def vote(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """``(key, template, first, last, votes)``: runs of neighbouring diagonals of ``docs(key, text)``, by word places in the text."""
-    grams = docs.select("key", F.posexplode(_gram_column("text")).alias("pos", "gram"))
-    hits = grams.join(F.broadcast(templates), "gram").select("key", "template", "size", (F.col("pos") - F.col("tpos")).alias("diagonal"), "pos")
+def vote(texts: DataFrame, templates: DataFrame) -> DataFrame:
+    """``(key, template, runs)``: runs ``(first, last)`` of neighbouring diagonals of ``texts(key, hits)``, for templates with enough votes."""
+    hits = texts.select("key", F.explode("hits").alias("h")).select("key", "h.pos", "h.gram")
+    hits = hits.join(F.broadcast(templates), "gram").select("key", "template", "size", (F.col("pos") - F.col("tpos")).alias("diagonal"), "pos")
     lines = hits.groupBy("key", "template", "size", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     along = Window.partitionBy("key", "template").orderBy("diagonal")
     fresh = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= DRIFT, 0).otherwise(1)
     runs = lines.withColumn("fresh", fresh)
     runs = runs.withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("key", "template", "size", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("votes").alias("votes"))
-    return runs.where(F.col("votes") >= LEAST_VOTES * F.col("size")).select("key", "template", "first", "last", "votes")
-
-
-def share(template: list[bytes], window: list[bytes]) -> float:
-    """The part of the template's words that the window holds in order: the longest common subsequence."""
-    row = [0] * (len(window) + 1)
-    for a in template:
-        corner = 0
-        for j, b in enumerate(window):
-            kept = row[j + 1]
-            row[j + 1] = corner + 1 if a == b else max(kept, row[j])
-            corner = kept
-    return row[-1] / len(template)
-
-
-def with_hits(texts: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """The rows of ``texts(key, text)`` with enough votes for a template on all diagonals together.
-
-    These are all texts that can have a run, and few others, so verification needs no shuffle of the
-    rest, however many there are.
-    """
-    each = [Hashed(pa.array([t])).grams(GRAM)[0] for _, t in templates]
-    wanted, least = np.unique(np.concatenate(each)), np.array([LEAST_VOTES * len(g) for g in each])
-    holds = np.stack([np.isin(wanted, g) for g in each], axis=1).astype(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = np.zeros(1 << 16, bool)
-        near[wanted & 0xFFFF] = True
-        for batch in batches:
-            at = 0
-            for part in C.steps(C.filled(batch.column(1))):
-                values, starts = Hashed(part).grams(GRAM)
-                hit = near[values & 0xFFFF]
-                hit[hit] = np.isin(values[hit], wanted)
-                votes = np.zeros((len(part), len(each)), np.int64)
-                np.add.at(votes, np.searchsorted(starts, np.flatnonzero(hit), side="right") - 1, holds[np.searchsorted(wanted, values[hit])])
-                yield batch.slice(at, len(part)).filter(pa.array(((votes >= least) & (votes > 0)).any(axis=1)))
-                at += len(part)
-
-    return texts.select("key", "text").mapInArrow(run, "key string, text string")
+    # A text's runs for one template: no more than its words.
+    told = runs.groupBy("key", "template", "size").agg(F.collect_list(F.struct("first", "last")).alias("runs"), F.sum("votes").alias("votes"))
+    return told.where(F.col("votes") >= LEAST_VOTES * F.col("size")).select("key", "template", "runs")
+
+
+class Verifier:
+    """The share of a template's words that a span of words holds in order."""
+
+    def __init__(self, template: list[bytes]):
+        self.size, self.places = len(template), {}
+        for i, w in enumerate(template):
+            self.places[w] = self.places.get(w, 0) | 1 << i
+
+    def share(self, words: list[bytes]) -> float:
+        """Longest common subsequence, by the bits of one number a row."""
+        whole = (1 << self.size) - 1
+        row = whole
+        for w in words:
+            met = row & self.places.get(w, 0)
+            row = ((row + met) | (row - met)) & whole
+        return (self.size - row.bit_count()) / self.size
+
+    def best(self, words: list[bytes], runs: list[tuple[int, int]]) -> float:
+        """The largest share of any span that meets a run; a span begins with one of the template's words."""
+        span, out, done = SPAN * self.size, 0.0, 0
+        for first, last in sorted(runs):
+            for at in range(max(done, first + 1 - span, 0), min(last + GRAM, len(words))):
+                if words[at] in self.places:
+                    out = max(out, self.share(words[at : at + span]))
+            done = max(done, last + GRAM)
+        return out
 
 
 def verified(runs: DataFrame, texts: DataFrame, templates=TEMPLATES, least: float = LEAST_SHARE) -> DataFrame:
-    """``(key, label, score)`` of runs that hold ``least`` of their template, checked word by word on ``texts(key, text)``."""
-    split = [words_of(t) for _, t in templates]
+    """``(key, own, best)``: labels of templates of which ``least`` is there, checked word by word on ``texts(key, text)``, and the best score."""
+    checks = [Verifier(words_of(t)) for _, t in templates]
     names = [label for label, _ in templates]
-    grouped = runs.groupBy("key").agg(F.collect_list(F.struct("template", "first", "last")).alias("runs"))
+    grouped = runs.groupBy("key").agg(F.collect_list(F.struct("template", "runs")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 words = words_of(r["text"])
-                best: dict[str, float] = {}
-                for c in r["runs"]:
-                    t = split[c["template"]]
-                    # A long run (hits of a repeated notice) is looked at in windows of the template's size.
-                    reach = len(t) + DRIFT
-                    lo, hi = max(0, c["first"] - reach), c["last"] + GRAM + reach
-                    for at in range(lo, max(lo + 1, hi - reach), reach):
-                        score = share(t, words[at : at + 2 * reach])
-                        if score >= least:
-                            best[names[c["template"]]] = max(score, best.get(names[c["template"]], 0.0))
-                out += [{"key": r["key"], "label": k, "score": v} for k, v in best.items()]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("label", pa.string()), ("score", pa.float64())]))
-
-    return texts.join(grouped, "key").select("key", "text", "runs").mapInArrow(run, "key string, label string, score double")
+                scores = [(checks[c["template"]].best(words, [(x["first"], x["last"]) for x in c["runs"]]), names[c["template"]]) for c in r["found"]]
+                held = [x for x in scores if x[0] >= least]
+                if held:
+                    out.append({"key": r["key"], "own": sorted({x[1] for x in held}), "best": max(held)[0]})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("own", pa.list_(pa.string())), ("best", pa.float64())]))
+
+    return texts.join(grouped, "key").select("key", "text", "found").mapInArrow(run, "key string, own array<string>, best double")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
@@ -222,13 +231,18 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     scratch = Scratch(spark, "licenses")
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    # Equal texts have equal results, so a text's digest is its key.
-    texts = rows.select(F.md5("text").alias("key"), "text")
-    runs = scratch.table(vote(texts, templates_table(spark, templates)))
-    found = verified(runs, with_hits(texts, templates).dropDuplicates(["key"]), templates)
-    by_text = found.groupBy("key").agg(F.collect_set("label").alias("own"), F.max("score").alias("best"))
-    based = rows.select("id", F.md5("text").alias("key"), base("text").alias("b")).select("id", "key", "b.*")
-    merged = based.join(scratch.table(by_text), "key", "left")
+    read = rows.select("id", "text", scanned("text", templates).alias("s"))
+    able = F.size("s.hits") > 0
+    # Written once: of texts that can't hold a template only the base columns stay.
+    read = scratch.table(read.select("id", "s.*", F.when(able, F.col("text")).alias("text"), F.when(able, F.md5("text")).alias("key")))
+    # Equal texts vote once, so that their number has no part in the result.
+    texts = scratch.table(read.where("key is not null").groupBy("key").agg(F.first("text").alias("text"), F.first("hits").alias("hits")))
+    runs = vote(texts.select("key", "hits"), templates_table(spark, templates))
+    by_text = scratch.table(verified(runs, texts.select("key", "text"), templates))
+    # Rows without a key need no join; the others are few, and a key that many of them share can be split.
+    based = ["id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    scored = read.where("key is not null").select("key", *based).join(by_text, "key", "left").select(*based, "own", "best")
+    merged = scored.unionByName(read.where("key is null").select(*based), allowMissingColumns=True)
     own = F.coalesce("own", F.array().cast("array<string>"))
     named = F.filter(F.split("base_labels", ","), lambda x: x != "")
     return merged.select(
