@@ -1,20 +1,21 @@
 """Operator 9, exact top-k search by no-random-access aggregation.
 
-Queries and candidates meet in blocks of bounded size. Within a block every dimension is a list of the
-candidates sorted by their value there; a query reads it from the top where its own component is
-positive and from the bottom where it is negative. All lists are read to the same depth, round by round.
-An entry that has been read counts with its value; one that hasn't lies between the last value read and
-the list's far end, which gives every candidate an upper and a lower bound. A query stops as soon as few
-candidates have an upper bound that reaches the k-th best lower bound, as no outsider can qualify then;
-the scores of those left are resolved by reading the rest of their entries. At the latest all is read.
-The bounds of many queries at one depth are two matrix products.
+Queries and candidates meet in cells of bounded size; a cell's candidates are held as lists, one a dimension, in blocks.
+A query reads each list of a block in order, step by step: from the top where its own component is positive, from the bottom
+where it is negative, and not at all where it is zero. What has been read adds to a candidate's score; what hasn't
+lies between the last value read in its list and the list's far end, and all of it together is no more than what
+the candidate's length leaves (Cauchy-Schwarz). So every candidate has a lower and an upper bound. Reading stops as
+soon as few candidates have an upper bound that reaches the k-th best lower bound, or the k-th best score of
+the blocks before, as no outsider can qualify then; the scores of those left are resolved by reading the rest of their
+entries. At the latest all is read, so nothing is approximate.
 
-Each block sends its k best a query on; the best of these are the result, so nothing is approximate.
+A candidate is copied once for each 65,536 queries, and each cell sends its k best a query on.
 
 Defined cases: rows whose vector is null or holds a null, NaN or infinity take no part, nor do rows
 without an id; rows with a query's own id are not among its candidates; repeated rows are candidates
-(and queries) of their own; vectors of another dimension than a query's are not compared with it; an
-empty vector scores 0; an empty table gives an empty table. Scores past 64 bits are held at the limit.
+(and queries) of their own; ties go to the smaller id; vectors of another dimension than a query's are not compared with
+it, however long; an empty vector scores 0; an empty table gives an empty table; scores past 64 bits are held at the limit;
+further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -35,11 +36,11 @@ from tessera.session import Scratch
 K = 5
 SCALE = 256.0
 EVERY = 50
-QUERY_BLOCK = 8192
-CANDIDATE_BLOCK = 4096
-STEP = 128  # queries whose bounds are held at once
-#: Shares of every list that the rounds read; after the last all is known.
-DEPTHS = (0.5, 0.75, 0.875, 0.9375)
+QUERY_CELL = 1 << 16  # queries of a cell, at most
+CANDIDATE_CELL = 1 << 16  # candidates of a cell, at most
+BLOCK = 4096  # candidates of a cell whose lists are held at once
+#: Share of the lists that is read before bounds are first looked at, and in each step after that.
+FIRST, STEP = 0.5, 0.0625
 #: A query with so many candidates left, besides the k, is resolved.
 FEW = 64
 
@@ -74,54 +75,88 @@ def ranked(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(query, ids, scores)`` of the k best of a block for each query; all values whole numbers."""
-    n, dims = rows.shape
-    reach = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, dims)
-    if not reach < 2**52:  # beyond what doubles hold exactly: all entries are read, in whole numbers
-        exact = [[int(x) for x in r] for r in rows]
-        for i, q in enumerate(queries):
-            whole = [int(x) for x in q]
-            scores = np.array([min(max(sum(a * b for a, b in zip(whole, r)), -(2**63)), 2**63 - 1) for r in exact], np.int64)
-            other = np.flatnonzero(ids != query_ids[i])
-            best = other[np.lexsort((ids[other], [-int(x) for x in scores[other]]))[:k]]
-            yield i, ids[best], scores[best]
-        return
-    lists = np.sort(rows, axis=0)
-    views = {}
-    for depth in DEPTHS:
-        read = int(n * depth)
-        top, bottom = lists[n - 1 - read], lists[read]
-        views[depth] = (
-            (np.maximum(rows, top), np.minimum(rows, bottom)),
-            (np.where(rows >= top, rows, lists[0]), np.where(rows <= bottom, rows, lists[-1])),
-        )
-    for at in range(0, len(queries), STEP):
-        left = np.arange(at, min(at + STEP, len(queries)))
-        for depth in DEPTHS:
-            if n <= FEW + k or not len(left):
-                break
-            up, down = np.maximum(queries[left], 0), np.minimum(queries[left], 0)
-            (high_top, high_bottom), (low_top, low_bottom) = views[depth]
-            upper = up @ high_top.T + down @ high_bottom.T
-            lower = up @ low_top.T + down @ low_bottom.T
-            own = ids[None, :] == query_ids[left][:, None]
-            lower[own] = upper[own] = -np.inf
-            kth = np.partition(lower, n - k, axis=1)[:, n - k]
-            able = (upper >= kth[:, None]) & ~own
-            few = able.sum(axis=1) <= FEW + k
-            for i, row in zip(left[few].tolist(), able[few]):
-                yield i, *resolved(queries[i], rows, ids, np.flatnonzero(row), k)
-            left = left[~few]
-        for i in left.tolist():
-            yield i, *resolved(queries[i], rows, ids, np.flatnonzero(ids != query_ids[i]), k)
-
-
-def resolved(query: np.ndarray, rows: np.ndarray, ids: np.ndarray, able: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Final scores of those that can still qualify, and the k best."""
-    scores = rows[able] @ query
-    best = ranked(scores, ids[able], k)
-    return ids[able][best], scores[best].astype(np.int64)
+class Lists:
+    """A block's candidates as one sorted list a dimension; all values whole numbers."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray):
+        self.rows, self.ids = rows, ids
+        n, dims = rows.shape
+        order = np.argsort(-rows, axis=0, kind="stable")
+        values = np.take_along_axis(rows, order, 0)
+        # From the top and from the bottom, each dimension's list in one piece.
+        self.order = np.ascontiguousarray(order.T), np.ascontiguousarray(order[::-1].T)
+        self.values = np.ascontiguousarray(values.T), np.ascontiguousarray(values[::-1].T)
+        self.squares = np.einsum("ij,ij->i", rows, rows)
+        self.largest = float(np.abs(rows).max(initial=0))
+        self.seen = np.zeros((n, dims))
+
+    def search(self, query: np.ndarray, own: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, float]:
+        """Ids and scores of the k best but ``own`` (of scores under ``floor`` any may lack), and the share of the entries that was read."""
+        n, dims = self.rows.shape
+        reach = float(np.abs(query).max(initial=0)) * self.largest * max(1, dims)
+        others = self.ids != own
+        if not reach < 2**52:  # beyond what doubles hold exactly
+            return *self.exact(query, others, k), 1.0
+        used = np.flatnonzero(query)
+        if n <= FEW + k or not len(used):
+            return *self.resolved(query, np.flatnonzero(others), k), 1.0
+        q = query[used]
+        down = (q < 0).astype(int)
+        order, values = ([side[way][d] for way, d in zip(down, used)] for side in (self.order, self.values))
+        far = np.array([v[-1] for v in values]) * q
+        score, squares = np.zeros(n), np.zeros(n)
+        seen = self.seen[:, : len(used)]
+        seen[:] = 0
+        read, to = 0, int(n * FIRST)
+        while True:
+            at = np.array([o[read:to] for o in order])
+            got = np.array([v[read:to] for v in values])
+            flat = at.ravel()
+            score += np.bincount(flat, (got * q[:, None]).ravel(), n)
+            squares += np.bincount(flat, (got * got).ravel(), n)
+            if to == n:
+                return *self.resolved(query, np.flatnonzero(others), k), 1.0
+            seen[at, np.arange(len(used))[:, None]] = 1
+            bounds = np.stack([got[:, -1] * q, far, q * q], axis=1)
+            high, low, rest = (bounds.sum(axis=0) - seen @ bounds).T
+            # With room for the rounding of the root.
+            most = np.sqrt(np.maximum(rest, 0) * np.maximum(self.squares - squares, 0)) + 1 + 1e-12 * reach
+            upper, lower = score + np.minimum(high, most), score + np.maximum(low, -most)
+            lower[~others] = -np.inf
+            kth = max(floor, np.partition(lower, n - k)[n - k])
+            able = np.flatnonzero((upper >= kth) & others)
+            if len(able) <= FEW + k:
+                return *self.resolved(query, able, k), to / n
+            read, to = to, min(n, to + max(1, int(n * STEP)))
+
+    def resolved(self, query: np.ndarray, able: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Final scores of those that can still qualify, and the k best."""
+        scores = self.rows[able] @ query
+        best = ranked(scores, self.ids[able], k)
+        return self.ids[able][best], scores[best].astype(np.int64)
+
+    def exact(self, query: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best in whole numbers of any size."""
+        whole = [int(x) for x in query]
+        scores = np.array([min(max(sum(a * int(b) for a, b in zip(whole, r)), -(2**63)), 2**63 - 1) for r in self.rows], np.int64)
+        other = np.flatnonzero(others)
+        best = other[np.lexsort((self.ids[other], [-int(x) for x in scores[other]]))[:k]]
+        return self.ids[best], scores[best]
+
+
+def search_cell(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(ids, scores)`` of the k best of a cell's candidates for each query."""
+    none = np.zeros(0, np.int64)
+    best = [(none, none)] * len(queries)
+    for at in range(0, len(rows), block):
+        lists = Lists(rows[at : at + block], ids[at : at + block])
+        for i, query in enumerate(queries):
+            held, scores = best[i]
+            found, more, _ = lists.search(query, int(query_ids[i]), k, float(scores[-1]) if len(scores) == k else -np.inf)
+            held, scores = np.append(held, found), np.append(scores, more)
+            first = np.lexsort((held, [-int(x) for x in scores]))[:k]
+            best[i] = held[first], scores[first]
+    return best
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -131,7 +166,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     rows = scratch.table(rows.where("vec is not null and id is not null"))
     n, n_queries = rows.agg(F.count("*"), F.count_if("asks")).first()
     spread = lambda salt, size: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(size))
-    q_blocks, c_blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
+    # Cells as large as memory allows, as each candidate goes to every query cell; but enough of them for all tasks.
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q_blocks, c_blocks = max(1, -(-n_queries // QUERY_CELL)), max(1, -(-n // CANDIDATE_CELL), min(-(-n // BLOCK), tasks))
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dim = F.octet_length("vec")
     queries = rows.where("asks").select("id", "row", "vec", dim.alias("dim"), spread(1, q_blocks).cast("int").alias("qb"), every(c_blocks).alias("cb"))
@@ -142,7 +179,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
         if len(asked) and len(held):
             matrix = lambda f: np.frombuffer(b"".join(f["vec"]), "<f8").reshape(len(f), -1)
             ids, own, asking = held["id"].to_numpy(np.int64), asked["id"].to_numpy(np.int64), asked["row"].to_numpy(np.int64)
-            for i, best, scores in search_block(matrix(asked), own, matrix(held), ids, k):
+            for i, (best, scores) in enumerate(search_cell(matrix(asked), own, matrix(held), ids, k)):
                 out["row"] += [asking[i]] * len(best)
                 out["query_id"] += [own[i]] * len(best)
                 out["vec_id"] += best.tolist()

@@ -20,8 +20,9 @@ def brute(rows, k=5):
 
 
 def test_awkward_vectors(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 40)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "CANDIDATE_CELL", 90)
+    monkeypatch.setattr(topk, "QUERY_CELL", 3)
+    monkeypatch.setattr(topk, "BLOCK", 40)
     r = random.Random(2)
     rows = [(i, [float(np.float32(r.gauss(0, 0.2))) for _ in range(8)]) for i in range(400)]
     rows += [(1000 + i, rows[0][1]) for i in range(60)] + [(7, rows[7][1]), (100, rows[100][1])]
@@ -57,6 +58,30 @@ def test_sql_agrees(spark):
 def test_block_search(n, dims, spread, seed):
     g = np.random.default_rng(seed)
     rows, ids = g.integers(-spread, spread + 1, (n, dims)).astype(float), g.permutation(n)
-    for i, best, scores in topk.search_block(rows[:9], ids[:9], rows, ids, 5):
+    for i, (best, scores) in enumerate(topk.search_cell(rows[:9], ids[:9], rows, ids, 5, block=110)):
         want = sorted((-int(rows[j] @ rows[i]), int(ids[j])) for j in range(n) if j != i)[:5]
         assert [(-int(s), int(b)) for s, b in zip(scores, best)] == want
+
+
+def test_reading_stops_before_the_end():
+    g = np.random.default_rng(1)
+    rows = np.floor(256 * (lambda x: x / np.linalg.norm(x, axis=1)[:, None])(g.normal(size=(2000, 64))))
+    lists = topk.Lists(rows, np.arange(2000))
+    read = []
+    for i in range(0, 2000, 100):
+        best, scores, share = lists.search(rows[i], i, 5)
+        want = sorted((-int(rows[j] @ rows[i]), j) for j in range(2000) if j != i)[:5]
+        assert [(-int(s), int(b)) for s, b in zip(scores, best)] == want
+        # A floor that others have reached lets a block stop earlier, and loses nothing at or above it.
+        more, high, less = lists.search(rows[i], i, 5, float(scores[0]))
+        assert less <= share and scores[0] in high.tolist()
+        read.append(share)
+    assert np.mean(read) < 0.85
+
+
+def test_clashing_names(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    want = sorted(map(tuple, topk.top_k(df, topk.F.col("vec_id") % 50 == 0).collect()))
+    for name in ("id", "vec", "asks", "row", "dim", "rank", "score"):
+        df = df.withColumn(name, topk.F.lit("own"))
+    assert sorted(map(tuple, topk.top_k(df, topk.F.col("vec_id") % 50 == 0).collect())) == want
