@@ -10,10 +10,13 @@ documents. A segment's payload is this binary format, all numbers little-endian:
 An id is split into chunks of 8 bits, the lowest on level 0. A set continuation bit says that the id goes on
 at the next level, at the place that the bit's rank names, so any id is read by one step a level with
 the rank directory, and no block is decoded. Segments are rows of a Parquet table, so that any store
-that Spark writes to can hold them; the table's other columns say which documents a segment holds.
+that Spark writes to can hold them; payloads are stored plain, neither compressed nor coded again. The table's other
+columns say which documents a segment holds and between which ids they lie, so that a reader only opens the segments
+that it needs.
 
 Defined cases: a null or empty text is the end id alone; rows without an id come first; rows with equal
-ids are in the order of their text's hash; an empty table gives files without segments.
+ids are in the order of their text's hash (repeated rows tie, and are the same); a long text is a segment of its own; an
+empty table gives files without segments; further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,13 +151,16 @@ def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                     to = max(first + 1, int(np.searchsorted(starts, starts[first] + SEGMENT_VALUES, side="right")) - 1)
                     payload = pack(flat[starts[first] : starts[to]], starts[first : to + 1] - starts[first])
                     held = pa.ListArray.from_arrays(pa.array([0, to - first], pa.int32()), batch.column(0).slice(at + first, to - first))
-                    values = [pa.array([part], pa.int64()), pa.array([seg], pa.int64()), pa.array([int(starts[to] - starts[first])], pa.int64()), held, pa.array([payload], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(values, names=["part", "seg", "n_values", "doc_ids", "payload"])
+                    ends = pc.min_max(held.values)
+                    values = [pa.array([part], pa.int64()), pa.array([seg], pa.int64()), pa.array([int(starts[to] - starts[first])], pa.int64())]
+                    values += [pa.array([ends[k].as_py()], held.values.type) for k in ("min", "max")] + [held, pa.array([payload], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(values, names=["part", "seg", "n_values", "first_id", "last_id", "doc_ids", "payload"])
                     first, seg = to, seg + 1
                 at += n
 
-    schema = f"part long, seg long, n_values long, doc_ids array<{id_type}>, payload binary"
-    ordered.select("doc_id", "text").mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    schema = f"part long, seg long, n_values long, first_id {id_type}, last_id {id_type}, doc_ids array<{id_type}>, payload binary"
+    found = ordered.select("doc_id", "text").mapInArrow(run, schema)
+    found.write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
@@ -187,10 +194,21 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return found.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids binary")
 
 
+def opened(spark: SparkSession, path: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which segment holds each of ``wanted(doc_id, place)`` (with its ``nth`` document), and the payloads of these segments only."""
+    low, high = wanted.agg(F.min("doc_id"), F.max("doc_id")).first()
+    # The scan skips what lies outside; payloads are read after that, of segments that are named.
+    files = spark.read.parquet(path).where((F.col("last_id") >= F.lit(low)) & (F.col("first_id") <= F.lit(high)))
+    held = files.select(F.col("part").alias("of_part"), F.col("seg").alias("of_seg"), F.posexplode("doc_ids").alias("nth", "doc_id")).join(wanted.select("doc_id", "place"), "doc_id")
+    held = Scratch(spark, "asked").table(held)
+    named = held.select(F.col("of_part").alias("part"), F.col("of_seg").alias("seg")).distinct()
+    named = F.broadcast(named) if named.count() <= SENT_SEGMENTS else named
+    return held, files.select("part", "seg", "payload").join(named, ["part", "seg"], "left_semi")
+
+
 def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """``(doc_id, place, token)`` for ``wanted(doc_id, place)``, by random access; places outside a document are left out."""
-    files = spark.read.parquet(path)
-    held = files.select(F.col("part").alias("of_part"), F.col("seg").alias("of_seg"), F.posexplode("doc_ids").alias("nth", "doc_id")).join(wanted.select("doc_id", "place"), "doc_id")
+    held, payloads = opened(spark, path, wanted)
 
     def run(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(found):
@@ -202,7 +220,7 @@ def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
         out["token"] = s.at(s.starts[nth[inside]] + place[inside]).astype(np.int64)
         return out
 
-    both = held.groupBy("of_part", "of_seg").cogroup(spark.read.parquet(path).select("part", "seg", "payload").groupBy("part", "seg"))
+    both = held.groupBy("of_part", "of_seg").cogroup(payloads.groupBy("part", "seg"))
     return both.applyInPandas(run, f"doc_id {held.schema['doc_id'].dataType.simpleString()}, place long, token long")
 
 

@@ -38,3 +38,26 @@ def test_files_hold_the_librarys_ids(spark, tmp_path, monkeypatch):
     assert read == {(i, p): texts[i][p] for i, p in wanted if 0 <= p < len(texts[i])}
     token_files.write_files(df.limit(0), str(tmp_path / "none"))
     assert token_files.read_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_one_token_opens_one_segment(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT_VALUES", 500)
+    df = spark.createDataFrame([(i, cases.prose(i, 90)) for i in range(40)], "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "x")
+    token_files.write_files(df, path)
+    segments = spark.read.parquet(path)
+    assert segments.count() > 8
+    held, payloads = token_files.opened(spark, path, spark.createDataFrame([(17, 5)], "doc_id long, place long"))
+    (row,) = payloads.collect()
+    assert held.count() == 1 and 17 in segments.where((segments.part == row.part) & (segments.seg == row.seg)).first().doc_ids
+    # What is stored is the payload itself.
+    stored = b"".join(f.read_bytes() for f in (tmp_path / "x").glob("*.parquet"))
+    assert all(bytes(r.payload) in stored for r in segments.select("payload").collect())
+
+
+def test_clashing_names(spark, tmp_path):
+    df = cases.docs(spark, extra=True)
+    for name in ("tie", "part", "seg", "ids"):
+        df = df.withColumn(name, df.text)
+    token_files.write_files(df, str(tmp_path / "x"))
+    assert token_files.read_files(spark, str(tmp_path / "x")).count() == df.count()
