@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def soundness(text: Column | str) -> Column:
+def vowel_share(text: Column | str) -> Column:
     """Share of a text's characters that are vowels, as a scalar pandas function."""
 
     @F.pandas_udf("double")
@@ -32,11 +34,15 @@ def geometric_mean(values: Column | str) -> Column:
 
 
 class _Words:
-    def eval(self, text: str):
-        for i, word in enumerate((text or "").split()):
-            yield word, i
-
-
-def words():
-    """A table function of a text's words and their places, for lateral joins."""
-    return F.udtf(_Words, returnType="word string, place int")
+    def eval(self, rows: pa.RecordBatch):
+        split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(rows.column("text").fill_null("")))
+        row, word = pc.list_parent_indices(split), split.flatten()
+        starts = split.offsets.to_numpy()[:-1]
+        place = np.arange(len(word)) - (starts - starts[:1])[row.to_numpy()]
+        found = pa.table({"id": rows.column("id").take(row), "word": word, "place": pa.array(place, pa.int32())})
+        yield found.filter(pc.not_equal(found.column("word"), ""))
+
+
+def words(rows: DataFrame) -> DataFrame:
+    """``(id, word, place)`` of the words of ``rows(id, text)``, by a table function over Arrow batches."""
+    return F.arrow_udtf(_Words, returnType="id long, word string, place int")(rows.asTable())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -27,10 +28,17 @@ def build_session(app_name: str = "tessera", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a fresh one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a fresh one in local mode only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,11 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
 _shipped: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once a session, unless their path has it already."""
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Send this package to the Python workers of ``spark`` (or the active session), once an application.
+
+    Only in local mode are workers known to have the driver's path; that holds the package if it is a folder on it.
+    """
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
     package = Path(__file__).resolve().parent
     root, app = str(package.parent), spark.sparkContext.applicationId
-    if app in _shipped or root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root:
+    on_path = root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root
+    if app in _shipped or is_local(spark) and on_path:
         return
     archive = Path(tempfile.mkdtemp(prefix="tessera-")) / "tessera.zip"
     with zipfile.ZipFile(archive, "w") as z:
@@ -60,6 +75,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship_package(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0

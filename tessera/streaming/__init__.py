@@ -1,4 +1,4 @@
 """Structured Streaming forms of the event queries."""
-from tessera.streaming.events import distinct_events, event_stream, follow_ups, run_available, session_counts, tumbling_counts
+from tessera.streaming.events import abandoned, distinct_events, event_stream, follow_ups, run_available, run_deliveries, session_counts, tumbling_counts
 
-__all__ = ["distinct_events", "event_stream", "follow_ups", "run_available", "session_counts", "tumbling_counts"]
+__all__ = ["abandoned", "distinct_events", "event_stream", "follow_ups", "run_available", "run_deliveries", "session_counts", "tumbling_counts"]

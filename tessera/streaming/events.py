@@ -1,9 +1,13 @@
-"""Event streams: windows with watermarks, deduplication and interval joins."""
+"""Event streams: windows with watermarks, deduplication, interval joins, late deliveries and custom state."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.session import Scratch
 
@@ -46,10 +50,82 @@ def follow_ups(first: DataFrame, second: DataFrame, within: str) -> DataFrame:
     return a.join(b, F.expr(f"first_user = user_id AND second_ts > first_ts AND second_ts <= first_ts + INTERVAL {within}")).select("user_id", "first_id", "second_id")
 
 
+class _Abandoned(StatefulProcessor):
+    """A user's views and purchases until the watermark has passed a view's time; then the view is judged and let go."""
+
+    def __init__(self, minutes: int):
+        self.within = minutes * 60_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.views = handle.getListState("views", "event_id long, at long")
+        self.bought = handle.getListState("bought", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            for kind, event_id, at in zip(part["event_type"], part["event_id"], part["at"]):
+                if kind == "purchase":
+                    self.bought.appendValue((int(at),))
+                else:
+                    self.views.appendValue((int(event_id), int(at)))
+                    self.handle.registerTimer(-(-(int(at) + self.within) // 1000))
+        yield pd.DataFrame({"user_id": [], "event_id": []})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        views, bought = list(self.views.get()), [at for (at,) in self.bought.get()]
+        due = [(e, at) for e, at in views if at + self.within <= now]
+        left = [(e, at) for e, at in views if at + self.within > now]
+        out = [e for e, at in due if not any(at < b <= at + self.within for b in bought)]
+        # Later views are younger than this time less the interval, and so are the purchases that they need.
+        kept = [(b,) for b in bought if b > now - self.within]
+        for state, values in ((self.views, left), (self.bought, kept)):
+            state.put(values) if values else state.clear()
+        yield pd.DataFrame({"user_id": [key[0]] * len(out), "event_id": out})
+
+    def close(self) -> None:
+        pass
+
+
+def abandoned(events: DataFrame, minutes: int) -> DataFrame:
+    """``(user_id, event_id)`` of views that no purchase of the same user follows within ``minutes``, once the watermark has passed that time.
+
+    Custom state by user with event-time timers. Needs the RocksDB state store, which :func:`run_available` sets.
+    """
+    rows = events.select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("at"), "ts")
+    return rows.groupBy("user_id").transformWithStateInPandas(_Abandoned(minutes), "user_id long, event_id long", "Append", "EventTime")
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _run(stream: DataFrame, out: str, state: str, mode: str) -> None:
+    spark, key = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)  # state on disk, and the only store for custom state
+    try:
+        stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+
+
 def run_available(spark: SparkSession, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a stream over what there is, into a Parquet table in the shared folder, and return that table."""
     scratch = Scratch(spark, label)
     out = f"{scratch.root}/out"
-    q = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", f"{scratch.root}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    _run(stream, out, f"{scratch.root}/state", mode)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_deliveries(spark: SparkSession, deliveries: list[DataFrame], counted: Callable[[DataFrame], DataFrame], label: str, late: str) -> DataFrame:
+    """Run a stream over deliveries that come one after the other, and return all that it has put out.
+
+    The watermark stays between deliveries: rows of windows that it has passed are dropped as too late.
+    """
+    scratch = Scratch(spark, label)
+    source, out = f"{scratch.root}/in", f"{scratch.root}/out"
+    for delivery in deliveries:
+        delivery.write.mode("append").parquet(source)
+        stream = counted(event_stream(spark, source, late))
+        _run(stream, out, f"{scratch.root}/state", "append")
     return spark.read.schema(stream.schema).parquet(out)

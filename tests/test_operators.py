@@ -43,3 +43,21 @@ def test_closed_stream_windows_are_the_batch_ones(spark):
     last = max(batch)[0]
     assert stream == {k: v for k, v in batch.items() if k[0] < last}
     assert 0 < catalog.QUERIES["stream_sessions"](spark, sf).count() <= catalog.QUERIES["time_sessions"](spark, sf).count()
+
+
+def test_late_rows_are_dropped_once_the_watermark_has_passed(spark):
+    from tessera import streaming
+
+    rows = lambda *at: spark.sql("select 1L as event_id, 1L as user_id, 'a' as event_type, 1.0D as value, cast(t as timestamp_ntz) as ts from values " + ", ".join(f"('2024-01-{x}')" for x in at) + " as v(t)")
+    deliveries = [rows("01 05:00:00", "05 12:00:00"), rows("01 06:00:00", "04 01:00:00", "05 13:00:00"), rows("01 07:00:00", "09 00:00:00")]
+    got = streaming.run_deliveries(spark, deliveries, lambda e: streaming.tumbling_counts(e, "1 day"), "late-test", "1 day")
+    # Rows of the 1st that come with later deliveries are too late; that of the 4th is not.
+    assert sorted((r.start.day, r.n) for r in got.collect()) == [(1, 1), (4, 1), (5, 2)]
+
+
+def test_words_of_awkward_texts(spark):
+    from tessera.functions import words
+
+    df = spark.createDataFrame([(1, " a  b "), (2, None), (3, ""), (4, "c")], "id long, text string")
+    assert sorted(map(tuple, words(df).collect())) == [(1, "a", 0), (1, "b", 1), (4, "c", 0)]
+    assert words(df.limit(0)).count() == 0
