@@ -5,8 +5,8 @@ remainder first. Pieces are dealt to partitions of bounded size, and each is pac
 decreasing. Dual-feasible functions of the lengths give a lower bound on each partition's bins: where
 it equals the bins made, the partition is certified. Partitions with a gap, and every partition's
 loosest bins, put the documents of their unfilled bins into an exchange, are dealt anew and packed
-again; a round's result stands only where it saves bins. Rounds end when the bins in all equal the
-bound on the whole table, when nothing is saved, or after ``rounds``.
+again; a round's result stands only where it saves bins. Rounds end when the exchanged bins are as few as their
+volume allows, when nothing is saved, or after ``rounds``.
 
 Only ids' digests and lengths are shuffled, not texts or ids; :func:`sequences` joins the ids on.
 
@@ -150,7 +150,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, partition: int = PARTITION,
     kept = items.columns
     own = [F.col(c).alias(f"_{i}") for i, c in enumerate(kept)]  # names of its own, whatever they are
     rows = scratch.table(items.select(*own, F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("item")))
-    total, weight = rows.agg(F.count("*"), F.sum("length")).first()
+    total = rows.count()
     done: list[DataFrame] = []
 
     def deal(df: DataFrame, n: int, salt: int) -> DataFrame:
