@@ -78,7 +78,7 @@ class Scratch:
         ship_package(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._n, self._names = 0, []
 
     def write(self, df: DataFrame) -> tuple[DataFrame, str]:
         """Write ``df`` as Parquet; return the reread table and its path."""
@@ -90,7 +90,22 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         return self.write(df)[0]
 
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """Write ``df`` in buckets of ``key``, as many as a shuffle has partitions; later joins on ``key`` don't shuffle it again."""
+        self._n += 1
+        name, n = f"tessera_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{self._n}")
+        rows.bucketBy(n, key).sortBy(key).saveAsTable(name)
+        self._names.append(name)
+        return self.spark.table(name)
+
     def drop(self, path: str) -> None:
         """Delete a table that no later step reads."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+    def drop_all(self) -> None:
+        """Delete all tables written here; call it when no later step reads any."""
+        while self._names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._names.pop()}")
+        self.drop(self.root)

@@ -52,3 +52,16 @@ print(Scratch(spark, "t").table(df.select(vowel_share("text").alias("v"))).colle
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "place=1" in done.stdout, done.stderr[-2000:]
+
+
+def test_buckets_spare_a_shuffle_and_go_with_their_folder(spark):
+    scratch = session.Scratch(spark, "buckets")
+    held = scratch.bucketed(spark.range(100).selectExpr("id as k", "id % 7 as v"), "k")
+    asked = spark.range(0, 200, 3).hint("merge").withColumnRenamed("id", "k")
+    met = asked.join(held, "k")
+    assert met.count() == 34 and held.count() == 100
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert scratch.bucketed(held.limit(0), "k").count() == 0
+    scratch.drop_all()
+    assert not Path(scratch.root).exists() and not [t for t in spark.catalog.listTables() if t.name.startswith("tessera_")]
