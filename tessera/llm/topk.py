@@ -9,6 +9,9 @@ soon as few candidates have an upper bound that reaches the k-th best lower boun
 the blocks before, as no outsider can qualify then; the scores of those left are resolved by reading the rest of their
 entries. At the latest all is read, so nothing is approximate.
 
+Queries of a cell read a block's lists together, so that each step's entries are taken up once for many queries; each
+query keeps its own bounds and stops for itself.
+
 A candidate is copied once for each 65,536 queries, and each cell sends its k best a query on.
 
 Defined cases: rows whose vector is null or holds a null, NaN or infinity take no part, nor do rows
@@ -43,6 +46,10 @@ BLOCK = 4096  # candidates of a cell whose lists are held at once
 FIRST, STEP = 0.5, 0.0625
 #: A query with so many candidates left, besides the k, is resolved.
 FEW = 64
+#: Queries that read a block's lists together.
+TOGETHER = 128
+#: Whole numbers below these are exact as doubles and as single floats, with room for a sum.
+WHOLE, WHOLE_SINGLE = 2.0**52, 2.0**22
 
 
 def quantised(embedding: Column | str, scale: float = SCALE) -> Column:
@@ -88,46 +95,66 @@ class Lists:
         self.values = np.ascontiguousarray(values.T), np.ascontiguousarray(values[::-1].T)
         self.squares = np.einsum("ij,ij->i", rows, rows)
         self.largest = float(np.abs(rows).max(initial=0))
-        self.seen = np.zeros((n, dims))
 
     def search(self, query: np.ndarray, own: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, float]:
         """Ids and scores of the k best but ``own`` (of scores under ``floor`` any may lack), and the share of the entries that was read."""
+        return self.search_all(query[None], np.array([own]), k, np.array([floor]))[0]
+
+    def search_all(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """:meth:`search` for several queries, which read the lists together; each leaves as soon as its bounds allow."""
         n, dims = self.rows.shape
-        reach = float(np.abs(query).max(initial=0)) * self.largest * max(1, dims)
-        others = self.ids != own
-        if not reach < 2**52:  # beyond what doubles hold exactly
-            return *self.exact(query, others, k), 1.0
-        used = np.flatnonzero(query)
-        if n <= FEW + k or not len(used):
-            return *self.resolved(query, np.flatnonzero(others), k), 1.0
-        q = query[used]
-        down = (q < 0).astype(int)
-        order, values = ([side[way][d] for way, d in zip(down, used)] for side in (self.order, self.values))
-        far = np.array([v[-1] for v in values]) * q
-        score, squares = np.zeros(n), np.zeros(n)
-        seen = self.seen[:, : len(used)]
-        seen[:] = 0
+        out: list = [None] * len(queries)
+        reach = np.abs(queries).max(axis=1, initial=0) * self.largest * max(1, dims)
+        going = []
+        for i, query in enumerate(queries):
+            if not reach[i] < WHOLE:  # beyond what doubles hold exactly
+                out[i] = *self.exact(query, self.ids != own[i], k), 1.0
+            elif n <= FEW + k or not query.any():
+                out[i] = *self.resolved(query, np.flatnonzero(self.ids != own[i]), k), 1.0
+            else:
+                going.append(i)
+        going = np.array(going, np.int64)
+        # Each dimension has two lists, from the top and from the bottom; a query weighs one of them, or none.
+        top = max(self.largest, float(np.abs(queries).max(initial=0)))
+        squared = top * top * max(1, dims)
+        by_length, kind = squared < WHOLE, np.float32 if squared < WHOLE_SINGLE else np.float64
+        weight = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)[going].astype(kind)
+        far = np.concatenate([values[:, -1] for values in self.values]).astype(kind) if n else np.zeros(2 * dims, kind)
+        score, squares, beyond, rest = (np.zeros((len(going), n), kind) for _ in range(4))
+        seen = np.zeros((2 * dims, n), kind)
+        lengths = self.squares.astype(kind)
         read, to = 0, int(n * FIRST)
-        while True:
-            at = np.array([o[read:to] for o in order])
-            got = np.array([v[read:to] for v in values])
-            flat = at.ravel()
-            score += np.bincount(flat, (got * q[:, None]).ravel(), n)
-            squares += np.bincount(flat, (got * got).ravel(), n)
-            if to == n:
-                return *self.resolved(query, np.flatnonzero(others), k), 1.0
-            seen[at, np.arange(len(used))[:, None]] = 1
-            bounds = np.stack([got[:, -1] * q, far, q * q], axis=1)
-            high, low, rest = (bounds.sum(axis=0) - seen @ bounds).T
-            # With room for the rounding of the root.
-            most = np.sqrt(np.maximum(rest, 0) * np.maximum(self.squares - squares, 0)) + 1 + 1e-12 * reach
-            upper, lower = score + np.minimum(high, most), score + np.maximum(low, -most)
-            lower[~others] = -np.inf
-            kth = max(floor, np.partition(lower, n - k)[n - k])
-            able = np.flatnonzero((upper >= kth) & others)
-            if len(able) <= FEW + k:
-                return *self.resolved(query, able, k), to / n
+        while len(going) and to < n:
+            got, fresh = np.zeros((2, 2 * dims, n), kind)
+            last = np.zeros(2 * dims, kind)
+            for side, (order, values) in enumerate(zip(self.order, self.values)):
+                lists = np.arange(side * dims, (side + 1) * dims)[:, None]
+                got[lists, order[:, read:to]] = values[:, read:to]
+                fresh[lists, order[:, read:to]] = 1
+                last[lists[:, 0]] = values[:, to - 1]
+            seen += fresh
+            score += weight @ got
+            squares += (weight != 0).astype(kind) @ (got * got)
+            beyond += (weight * far) @ fresh
+            rest += (weight * weight) @ fresh
+            high = (weight @ last)[:, None] - (weight * last) @ seen
+            low = (weight @ far)[:, None] - beyond
+            if by_length:
+                left = np.maximum((weight * weight).sum(axis=1)[:, None] - rest, 0) * np.maximum(lengths - squares, 0)
+                most = np.sqrt(left) * kind(1 + 1e-6) + kind(1)  # with room for the rounding of product and root
+                high, low = np.minimum(high, most), np.maximum(low, -most)
+            others = self.ids[None] != own[going][:, None]
+            lower = np.where(others, score + low, -np.inf)
+            kth = np.maximum(floors[going], np.partition(lower, n - k, axis=1)[:, n - k])
+            able = (score + high >= kth[:, None]) & others
+            few = able.sum(axis=1) <= FEW + k
+            for at in np.flatnonzero(few):
+                out[going[at]] = *self.resolved(queries[going[at]], np.flatnonzero(able[at]), k), to / n
+            going, weight, score, squares, beyond, rest = (x[~few] for x in (going, weight, score, squares, beyond, rest))
             read, to = to, min(n, to + max(1, int(n * STEP)))
+        for i in going:
+            out[i] = *self.resolved(queries[i], np.flatnonzero(self.ids != own[i]), k), 1.0
+        return out
 
     def resolved(self, query: np.ndarray, able: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Final scores of those that can still qualify, and the k best."""
@@ -150,12 +177,13 @@ def search_cell(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, id
     best = [(none, none)] * len(queries)
     for at in range(0, len(rows), block):
         lists = Lists(rows[at : at + block], ids[at : at + block])
-        for i, query in enumerate(queries):
-            held, scores = best[i]
-            found, more, _ = lists.search(query, int(query_ids[i]), k, float(scores[-1]) if len(scores) == k else -np.inf)
-            held, scores = np.append(held, found), np.append(scores, more)
-            first = np.lexsort((held, [-int(x) for x in scores]))[:k]
-            best[i] = held[first], scores[first]
+        for first in range(0, len(queries), TOGETHER):
+            asked = slice(first, first + TOGETHER)
+            floors = np.array([float(scores[-1]) if len(scores) == k else -np.inf for _, scores in best[asked]])
+            for i, (found, more, _) in enumerate(lists.search_all(queries[asked], query_ids[asked], k, floors), first):
+                held, scores = np.append(best[i][0], found), np.append(best[i][1], more)
+                order = np.lexsort((held, [-int(x) for x in scores]))[:k]
+                best[i] = held[order], scores[order]
     return best
 
 
