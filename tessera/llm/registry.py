@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import bpe, html, licenses, packing, quality, secrets, simhash, token_counts, token_files, topk
+from tessera.llm import bpe, divergence, html, licenses, packing, quality, secrets, simhash, token_counts, token_files, topk
 
 
 def queries() -> dict:
@@ -18,9 +18,15 @@ def queries() -> dict:
         "op8_html_extraction": html.op8_html_extraction,
         "op9_top_k": topk.op9_top_k,
         "op10_secret_scans": secrets.op10_secret_scans,
+        "op11_source_divergence": divergence.op11_source_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.OP1_SQL, "op9_top_k": topk.OP9_SQL, "op10_secret_scans": secrets.OP10_SQL}
+    return {
+        "op1_quality_rules": quality.OP1_SQL,
+        "op9_top_k": topk.OP9_SQL,
+        "op10_secret_scans": secrets.OP10_SQL,
+        "op11_source_divergence": divergence.OP11_SQL,
+    }
