@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import bpe, divergence, html, licenses, packing, quality, secrets, simhash, token_counts, token_files, topk
+from tessera.llm import bpe, clustering, divergence, html, language, licenses, packing, quality, secrets, simhash, token_counts, token_files, topk
 
 
 def queries() -> dict:
@@ -19,6 +19,8 @@ def queries() -> dict:
         "op9_top_k": topk.op9_top_k,
         "op10_secret_scans": secrets.op10_secret_scans,
         "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_language_id": language.op12_language_id,
+        "op13_centroid_clusters": clustering.op13_centroid_clusters,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_top_k": topk.OP9_SQL,
         "op10_secret_scans": secrets.OP10_SQL,
         "op11_source_divergence": divergence.OP11_SQL,
+        "op13_centroid_clusters": clustering.OP13_SQL,
     }
