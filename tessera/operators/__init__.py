@@ -1,5 +1,5 @@
 """Operators that Spark has no single call for, as compositions of DataFrame operations."""
-from tessera.operators.joins import asof_join, interval_join, not_in, salted_join
-from tessera.operators.windows import sessions, top_k_per_group
+from tessera.operators.joins import asof_join, inequality_join, interval_join, not_in, salted_join
+from tessera.operators.windows import sessions, top_k_per_group, whole_ranks
 
-__all__ = ["asof_join", "interval_join", "not_in", "salted_join", "sessions", "top_k_per_group"]
+__all__ = ["asof_join", "inequality_join", "interval_join", "not_in", "salted_join", "sessions", "top_k_per_group", "whole_ranks"]

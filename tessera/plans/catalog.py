@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import streaming
 from tessera.functions import day_of_week, geometric_mean, json_long, ntz_trunc, time_bucket, vowel_share, words
-from tessera.operators import asof_join, interval_join, not_in, salted_join, sessions, top_k_per_group
+from tessera.operators import asof_join, inequality_join, interval_join, not_in, salted_join, sessions, top_k_per_group, whole_ranks
 from tessera.session import Scratch
 from tessera.sources import TABLES, read_files, table, write_files
 
@@ -106,6 +106,32 @@ def join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval_join(table(spark, sf_dir, "part"), spans, "p_retailprice", "lo", "hi", 25.0).select("p_partkey", "s_suppkey")
 
 
+#: Error events open a window of 1 to 1,024 minutes, by their id.
+_OUTAGES = "SELECT event_id AS outage_id, ts AS opened, ts + INTERVAL '1 minute' * CAST(power(4, event_id % 6) AS INTEGER) AS closed FROM events WHERE event_type = 'error'"
+
+
+@query(f"SELECT outage_id, count(*) AS clicks, max(event_id) AS last_id FROM ({_OUTAGES}) JOIN (SELECT event_id, ts FROM events WHERE event_type = 'click') c ON ts >= opened AND ts < closed GROUP BY outage_id")
+def join_interval_any_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks within windows whose lengths differ by a factor of a thousand."""
+    events = table(spark, sf_dir, "events")
+    minutes = F.make_dt_interval(mins=F.pow(F.lit(4), F.col("event_id") % 6).cast("int"))
+    outages = events.where("event_type = 'error'").select(F.col("event_id").alias("outage_id"), F.col("ts").alias("opened"), (F.col("ts") + minutes).alias("closed"))
+    clicks = events.where("event_type = 'click'").select("event_id", "ts")
+    return interval_join(clicks, outages, "ts", "opened", "closed", 60.0).groupBy("outage_id").agg(F.count("*").alias("clicks"), F.max("event_id").alias("last_id"))
+
+
+@query("""
+SELECT a.event_id AS error_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.ts < b.ts + INTERVAL '1 minute' * (b.event_id % 20) AND a.ts + INTERVAL '1 minute' * (a.event_id % 20) > b.ts
+WHERE a.event_type = 'error' AND b.event_type = 'purchase'
+""")
+def join_two_inequalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that overlap: two comparisons and no equality."""
+    lasting = F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 20).cast("int"))
+    side = lambda kind, name: table(spark, sf_dir, "events").where(F.col("event_type") == kind).select(F.col("event_id").alias(f"{name}_id"), F.col("ts").alias(f"{name}_from"), lasting.alias(f"{name}_to"))
+    errors, purchases = side("error", "error"), side("purchase", "purchase")
+    return inequality_join(errors, purchases, ("error_from", "<", "purchase_to"), ("error_to", ">", "purchase_from")).select("error_id", "purchase_id")
+
+
 @query("SELECT o_orderpriority, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_quantity", "l_linenumber")
@@ -167,6 +193,19 @@ def window_top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_per_group(orders, ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rank")
 
 
+@query("""
+SELECT l_orderkey, l_partkey, l_extendedprice, row_number() OVER w AS row_number, CAST(ntile(7) OVER w AS BIGINT) AS ntile, rank() OVER q AS rank, dense_rank() OVER q AS dense_rank, round(percent_rank() OVER q, 10) AS percent_rank, round(cume_dist() OVER q, 10) AS cume_dist
+FROM (SELECT DISTINCT l_orderkey, l_partkey, l_extendedprice, l_quantity FROM lineitem) WINDOW w AS (ORDER BY l_quantity, l_extendedprice DESC, l_orderkey, l_partkey), q AS (ORDER BY l_quantity)
+""")
+def window_whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks without a partition: by a total order, and by fifty quantities with large groups of ties."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_quantity").distinct()
+    total = whole_ranks(lines, ["l_quantity", "l_extendedprice", "l_orderkey", "l_partkey"], [True, False, True, True], tiles=7).drop("rank", "dense_rank", "percent_rank", "cume_dist")
+    ranked = whole_ranks(total.withColumnsRenamed({"row_number": "number", "ntile": "tile"}), ["l_quantity"])
+    share = lambda c: F.round(c, 10).alias(c)
+    return ranked.select("l_orderkey", "l_partkey", "l_extendedprice", F.col("number").alias("row_number"), F.col("tile").alias("ntile"), "rank", "dense_rank", share("percent_rank"), share("cume_dist"))
+
+
 # Order, limits and sets
 sql("order_top", "SELECT c_custkey, c_acctbal FROM {customer} ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 10")
 sql("set_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
@@ -186,8 +225,9 @@ sql("subquery_correlated", "SELECT o_orderkey FROM {orders} o WHERE o_totalprice
 sql("functions_string", """
 SELECT p_partkey, substring(p_name, 2, 5) AS part, length(p_name) * CAST(1 AS BIGINT) AS size, lower(p_type) AS low, replace(p_brand, '#', '-') AS brand, CAST(levenshtein(p_name, p_type) AS BIGINT) AS distance, concat_ws('/', p_brand, p_type) AS joined, lpad(p_brand, 12, '.') AS padded
 FROM {part}""")
-sql("functions_math", "SELECT l_orderkey, l_linenumber, round(ln(l_extendedprice), 8) AS lg, round(sqrt(l_quantity), 8) AS root, CAST(l_partkey % 7 AS BIGINT) AS m, abs(l_discount - l_tax) AS gap, CAST(floor(l_extendedprice / 100) AS BIGINT) AS hundreds, greatest(l_discount, l_tax) AS top FROM {lineitem}")
-sql("functions_math_whole", "SELECT l_orderkey, l_linenumber, round(ln(l_extendedprice), 8) AS lg, round(sqrt(l_quantity), 8) AS root, CAST(l_partkey % 7 AS BIGINT) AS m, abs(l_discount - l_tax) AS gap, CAST(floor(l_extendedprice / 100) AS BIGINT) AS hundreds, greatest(l_discount, l_tax) AS top FROM {lineitem}")
+_MATH = "SELECT l_orderkey, l_linenumber, round(ln(l_extendedprice), 8) AS lg, round(sqrt(l_quantity), 8) AS root, CAST(l_partkey % 7 AS BIGINT) AS m, abs(l_discount - l_tax) AS gap, CAST(floor(l_extendedprice / 100) AS BIGINT) AS hundreds, greatest(l_discount, l_tax) AS top FROM {lineitem}"
+sql("functions_math", _MATH)
+sql("functions_math_whole", _MATH)  # an earlier name of the same query
 
 
 @query("SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, CAST(extract(dow FROM o_orderdate) AS BIGINT) AS dow, CAST(extract(year FROM o_orderdate) AS BIGINT) AS year, CAST(extract(quarter FROM o_orderdate) AS BIGINT) AS quarter, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS days FROM orders")
