@@ -8,8 +8,8 @@ def test_parts_of_classes_set_nothing_apart(spark):
     assert set(texts_of(spark, rows).values()) == {"Main text"}
 
 
-def test_running_text_in_an_article_goes_by_the_wrapper(spark):
-    page = '<article><p class="notice">{}</p><p>text {}</p><div class="share">Share</div></article>'
-    rows = [(i, "http://a/", page.format(f"Read this {i}", i)) for i in range(10)] + [(100 + i, "http://b/", page.format("Like us", i)) for i in range(10)]
+def test_running_text_in_an_article_goes_by_its_class(spark):
+    page = '<article><p class="notice">{}</p><p>text {}</p><div class="share">Share</div><p class="search">Searching {}</p></article>'
+    rows = [(i, "http://a/", page.format(f"Read this {i}", i, i)) for i in range(10)] + [(100 + i, "http://b/", page.format("Like us", i, i)) for i in range(10)]
     got = texts_of(spark, rows)
-    assert all(got[i] == f"Read this {i}\n\ntext {i}" and got[100 + i] == f"text {i}" for i in range(10))
+    assert all(got[i] == got[100 + i] == f"text {i}\n\nSearching {i}" for i in range(10))
