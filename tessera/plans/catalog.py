@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera import streaming
 from tessera.functions import day_of_week, geometric_mean, json_long, ntz_trunc, time_bucket, vowel_share, words
-from tessera.operators import asof_join, inequality_join, interval_join, not_in, salted_join, sessions, top_k_per_group, whole_ranks
+from tessera.functions import semistructured
+from tessera.operators import asof_join, daily_sketches, exact_quantiles, inequality_join, interval_join, not_in, over_spans, reach, salted_join, sessions, top_k_per_group, whole_ranks
+from tessera.operators.sketches import STANDARD_ERROR
 from tessera.session import Scratch
 from tessera.sources import TABLES, read_files, table, write_files
 
@@ -173,6 +175,31 @@ def aggregate_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.unpivot("s_suppkey", ["balance", "nation"], "name", "amount")
 
 
+@query("SELECT l_returnflag, unnest([0.0, 0.01, 0.5, 0.9, 0.999, 1.0]::DOUBLE[]) AS q, round(unnest(quantile_cont(l_extendedprice, [0.0, 0.01, 0.5, 0.9, 0.999, 1.0])), 6) AS value FROM lineitem GROUP BY l_returnflag")
+def aggregate_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of three large groups, a few bins at a time."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
+    return exact_quantiles(lines, ["l_returnflag"], "l_extendedprice", [0.0, 0.01, 0.5, 0.9, 0.999, 1.0]).withColumn("value", F.round("value", 6))
+
+
+@query("""
+WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS last_day FROM events)
+SELECT last_day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS near FROM d JOIN events ON CAST(ts AS DATE) BETWEEN last_day - 6 AND last_day GROUP BY last_day, event_type
+""")
+def aggregate_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of the seven days before each day, from kept daily sketches, and whether that is within four standard errors (or two users) of the exact number."""
+    events = table(spark, sf_dir, "events").select("ts", "event_type", "user_id")
+    kept = Scratch(spark, "sketches").table(daily_sketches(events, "ts", ["event_type"], {"about": F.col("user_id")}))
+    days = F.to_date("ts").alias("last_day")
+    spans = events.select(days).distinct().withColumn("first_day", F.date_sub("last_day", 6))
+    estimates = over_spans(kept, spans, ["event_type"], ["about"]).select("last_day", "event_type", "n", "about")
+    once = events.select(days, "event_type", "user_id").distinct()
+    exact = once.withColumn("last_day", F.explode(F.sequence("last_day", F.date_add("last_day", 6)))).join(spans.select("last_day"), "last_day")
+    exact = exact.groupBy("last_day", "event_type").agg(F.count_distinct("user_id").alias("users"))
+    near = F.abs(F.col("about") - F.col("users")) <= F.greatest(F.lit(2.0), 4 * STANDARD_ERROR * F.col("users"))
+    return estimates.join(exact, ["last_day", "event_type"]).select("last_day", "event_type", "n", "users", near.alias("near"))
+
+
 # Windows
 sql("window_ranks", """
 SELECT c_custkey, CAST(rank() OVER w AS BIGINT) AS r, CAST(dense_rank() OVER w AS BIGINT) AS d, CAST(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS BIGINT) AS q, round(percent_rank() OVER w, 8) AS p, round(cume_dist() OVER w, 8) AS c
@@ -219,6 +246,18 @@ sql("cte_above_average", """
 WITH spent AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY o_custkey)
 SELECT o_custkey, total FROM spent WHERE total > (SELECT avg(total) FROM spent)""")
 sql("cte_recursive", "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
+@query("""
+WITH RECURSIVE r(part, steps) AS (SELECT 1::BIGINT, 0::BIGINT UNION SELECT DISTINCT b.l_partkey, steps + 1 FROM r JOIN lineitem a ON a.l_partkey = part JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE steps < 6)
+SELECT part, min(steps) AS steps FROM r GROUP BY part
+""")
+def cte_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by the number of shared orders between them and part 1: a frontier that goes from parts to orders and back, in place of pairs of parts."""
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("part"), F.concat(F.lit("o"), "l_orderkey").alias("order"))
+    links = lines.select(F.col("part").alias("source"), F.col("order").alias("target")).union(lines.select("order", "part"))
+    found = reach(links, spark.createDataFrame([("p1",)], "node string"), most_steps=12).where("node like 'p%'")
+    return found.select(F.expr("substring(node, 2)").cast("long").alias("part"), (F.col("steps") / 2).cast("long").alias("steps"))
+
+
 sql("subquery_correlated", "SELECT o_orderkey FROM {orders} o WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM {orders} i WHERE i.o_custkey = o.o_custkey)")
 
 # Scalar functions
@@ -260,6 +299,19 @@ def functions_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.where(F.col("x").cast("double") > 0.3).groupBy("label", F.col("i").cast("long").alias("i")).agg(F.count("*").alias("n"))
 
 
+@query("""
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS kind, list_extract(l, i)::VARCHAR AS letter, CAST(i - 1 AS INTEGER) AS place
+FROM (SELECT *, string_split(event_type, '') AS l FROM events), unnest(range(1, len(event_type) + 1)) AS u(i)
+""")
+def functions_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested documents made of the events: a path into an object within one, and the elements of an array."""
+    letters = F.split("event_type", "")
+    nested = F.concat(F.lit('{"event": {"kind": "'), "event_type", F.lit('", "props": '), "props", F.lit('}, "letters": '), F.to_json(letters), F.lit("}"))
+    documents, _ = semistructured.parsed(table(spark, sf_dir, "events").select("event_id", nested.alias("text")), "text")
+    of = semistructured.elements(documents, "document", "$.letters", "letter")
+    return of.select("event_id", semistructured.at("document", "$.event.props.k", "long").alias("k"), semistructured.at("document", "$.event.kind", "string").alias("kind"), semistructured.at("letter", "$", "string").alias("letter"), "place")
+
+
 # Event time
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def time_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,6 +359,10 @@ def sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").sample(fraction=0.1, seed=7).select("l_orderkey", "l_linenumber")
 
 
+#: Groups that the rows of one user are dealt to.
+GROUP_PARTS = 8
+
+
 # Python functions over Arrow batches
 @query("SELECT p_partkey, round(length(regexp_replace(p_name, '[^aeiouAEIOU]', '', 'g')) / length(p_name), 8) AS vowels FROM part")
 def python_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,14 +384,16 @@ SELECT user_id, event_id, CAST(cents * count(*) OVER u - CAST(sum(cents) OVER u
 FROM (SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events) WINDOW u AS (PARTITION BY user_id)
 """)
 def python_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    """Whole cents from the user's mean. A user's rows are dealt to several groups, so none has to hold all of a user's; sums of all are known before."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    sums = events.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("cents").alias("total"))
+    dealt = events.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(GROUP_PARTS))).join(sums, "user_id")
 
     def centred(f):
         # Whole cents add up exactly in any order; one division at the end.
-        cents = (f["value"] * 100).round().astype("int64")
-        return f.assign(off=(cents * len(f) - cents.sum()).astype("float64") / (100 * len(f))).drop(columns="value")
+        return f.assign(off=(f["cents"] * f["n"] - f["total"]).astype("float64") / (100 * f["n"]))[["user_id", "event_id", "off"]]
 
-    return events.groupBy("user_id").applyInPandas(centred, "user_id long, event_id long, off double")
+    return dealt.groupBy("user_id", "part").applyInPandas(centred, "user_id long, event_id long, off double")
 
 
 # Streams, run over all there is; windows that the last watermark (the newest time less an hour) has not passed stay open
@@ -394,3 +452,19 @@ SELECT user_id, event_id FROM events v WHERE event_type = 'view' AND ts + INTERV
 def stream_abandoned(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = streaming.event_stream(spark, f"{sf_dir}/events.parquet").where(F.col("event_type").isin("view", "purchase"))
     return streaming.run_available(spark, streaming.abandoned(events, 30), "abandoned")
+
+
+@query("""
+SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL '7 days' <= (SELECT max(ts) FROM events) GROUP BY 1, 2
+""")
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts from six deliveries of five days each, in three batches or more: a watermark as late as the files were measured to be (a delivery's
+    files are read in any order), and state let go between batches. Days that end six days before the newest event are closed in any case."""
+    scratch, events = Scratch(spark, "in-time"), table(spark, sf_dir, "events")
+    streaming.deal_in_time(events, f"{scratch.root}/events", 6)
+    files = spark.read.parquet(f"{scratch.root}/events").select("_metadata.file_path").distinct().count()
+    counted = streaming.run_in_batches(spark, f"{scratch.root}/events", lambda e: streaming.tumbling_counts(e, "1 day"), "batches", max(1, files // 3))
+    start = F.col("start").cast("timestamp_ntz")
+    newest = events.agg(F.max("ts").alias("newest"))
+    closed = counted.join(F.broadcast(newest), start + F.expr("INTERVAL '7' DAY") <= F.col("newest"))  # one row
+    return closed.select(start.alias("start"), "event_type", "n")

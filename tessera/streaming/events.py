@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.session import Scratch
@@ -51,7 +52,11 @@ def follow_ups(first: DataFrame, second: DataFrame, within: str) -> DataFrame:
 
 
 class _Abandoned(StatefulProcessor):
-    """A user's views and purchases until the watermark has passed a view's time; then the view is judged and let go."""
+    """A user's views and purchases until the watermark has passed their time and the interval after it; then views are judged and all of them let go.
+
+    A user has one timer, for the oldest event kept, a view or a purchase: so whoever only buys leaves nothing behind. When it
+    expires, all views that are due are judged in one pass over both lists in order of time.
+    """
 
     def __init__(self, minutes: int):
         self.within = minutes * 60_000_000
@@ -60,27 +65,49 @@ class _Abandoned(StatefulProcessor):
         self.handle = handle
         self.views = handle.getListState("views", "event_id long, at long")
         self.bought = handle.getListState("bought", "at long")
+        self.due = handle.getValueState("due", "ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        oldest = None
         for part in rows:
-            for kind, event_id, at in zip(part["event_type"], part["event_id"], part["at"]):
-                if kind == "purchase":
-                    self.bought.appendValue((int(at),))
-                else:
-                    self.views.appendValue((int(event_id), int(at)))
-                    self.handle.registerTimer(-(-(int(at) + self.within) // 1000))
+            views, bought = part[part["event_type"] == "view"], part[part["event_type"] == "purchase"]
+            if len(views):
+                self.views.appendList([(int(e), int(at)) for e, at in zip(views["event_id"], views["at"])])
+            if len(bought):
+                self.bought.appendList([(int(at),) for at in bought["at"]])
+            if len(part):
+                oldest = min(x for x in (oldest, int(part["at"].min())) if x is not None)
+        if oldest is not None:
+            self.wake(oldest)
         yield pd.DataFrame({"user_id": [], "event_id": []})
 
+    def wake(self, oldest: int) -> None:
+        """Have a timer by the time that the interval after ``oldest`` is over."""
+        ms = -(-(oldest + self.within) // 1000)
+        now = self.due.get()[0] if self.due.exists() else None
+        if now is None or ms < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        views, bought = list(self.views.get()), [at for (at,) in self.bought.get()]
-        due = [(e, at) for e, at in views if at + self.within <= now]
-        left = [(e, at) for e, at in views if at + self.within > now]
-        out = [e for e, at in due if not any(at < b <= at + self.within for b in bought)]
-        # Later views are younger than this time less the interval, and so are the purchases that they need.
-        kept = [(b,) for b in bought if b > now - self.within]
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        views, bought = sorted(self.views.get(), key=lambda v: v[1]), sorted(at for (at,) in self.bought.get())
+        out, next_buy = [], 0
+        due = sum(at + self.within <= now for _, at in views)
+        for event_id, at in views[:due]:
+            while next_buy < len(bought) and bought[next_buy] <= at:
+                next_buy += 1
+            if next_buy == len(bought) or bought[next_buy] > at + self.within:
+                out.append(event_id)
+        # Views that are still to be judged or to come are younger than this time less the interval, and so are the purchases that they need.
+        left, kept = views[due:], [(at,) for at in bought if at + self.within > now]
         for state, values in ((self.views, left), (self.bought, kept)):
             state.put(values) if values else state.clear()
+        self.due.clear()
+        if left or kept:
+            self.wake(min([at for _, at in left[:1]] + [at for (at,) in kept[:1]]))
         yield pd.DataFrame({"user_id": [key[0]] * len(out), "event_id": out})
 
     def close(self) -> None:
@@ -99,22 +126,40 @@ def abandoned(events: DataFrame, minutes: int) -> DataFrame:
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _run(stream: DataFrame, out: str, state: str, mode: str) -> None:
+def _run(stream: DataFrame, out: str, state: str, mode: str) -> StreamingQuery:
+    """Run a stream over what there is. The sink is written batch by batch under the batch's number, so a batch that is run again after a failure replaces itself."""
     spark, key = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, ROCKS)  # state on disk, and the only store for custom state
     try:
-        stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        query = stream.writeStream.foreachBatch(batch_sink(out)).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
     finally:
         spark.conf.set(key, before)
 
 
+def batch_sink(out: str) -> Callable[[DataFrame, int], None]:
+    """Writes each batch to a folder of its own, ``batch=<number>``, in place of what may be there."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    return write
+
+
+def put_out(spark: SparkSession, stream: DataFrame, out: str) -> DataFrame:
+    """All that a stream has put out; nothing, if it has run no batch."""
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{out}/batch=-1")
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
+
+
 def run_available(spark: SparkSession, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is, into a Parquet table in the shared folder, and return that table."""
+    """Run a stream over what there is, into a table in the shared folder, and return that table."""
     scratch = Scratch(spark, label)
     out = f"{scratch.root}/out"
     _run(stream, out, f"{scratch.root}/state", mode)
-    return spark.read.schema(stream.schema).parquet(out)
+    return put_out(spark, stream, out)
 
 
 def run_deliveries(spark: SparkSession, deliveries: list[DataFrame], counted: Callable[[DataFrame], DataFrame], label: str, late: str) -> DataFrame:
@@ -128,4 +173,44 @@ def run_deliveries(spark: SparkSession, deliveries: list[DataFrame], counted: Ca
         delivery.write.mode("append").parquet(source)
         stream = counted(event_stream(spark, source, late))
         _run(stream, out, f"{scratch.root}/state", "append")
-    return spark.read.schema(stream.schema).parquet(out)
+    return put_out(spark, stream, out)
+
+
+def deal_in_time(events: DataFrame, out: str, slices: int) -> None:
+    """Write a table as ``slices`` deliveries of equal spans of time, each by all tasks, the earliest first."""
+    ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    if ends["a"] is None:
+        events.write.mode("append").parquet(out)
+        return
+    span = (ends["b"] - ends["a"]) / slices
+    at = [ends["a"] + span * i for i in range(slices)]
+    for i, start in enumerate(at):
+        within = F.col("ts") >= F.lit(start).cast(events.schema["ts"].dataType)
+        if i + 1 < slices:
+            within &= F.col("ts") < F.lit(at[i + 1]).cast(events.schema["ts"].dataType)
+        events.where(within).write.mode("append").parquet(out)
+
+
+def lateness_seconds(spark: SparkSession, path: str) -> int:
+    """How far a file's rows lie behind the newest row of the files before it, in the order in which a stream reads them, rounded up."""
+    files = spark.read.parquet(path).select("ts", F.col("_metadata.file_modification_time").alias("written"))
+    # Files written at one moment are read in any order, so they count as one. A row a file.
+    spans = files.groupBy("written").agg(F.min(F.col("ts").cast("timestamp")).alias("a"), F.max(F.col("ts").cast("timestamp")).alias("b")).orderBy("written").collect()
+    newest, late = None, 0.0
+    for r in spans:
+        if newest is not None and r["a"] is not None:
+            late = max(late, (newest - r["a"]).total_seconds())
+        newest = max((x for x in (newest, r["b"]) if x is not None), default=None)
+    return int(-(-late // 1))
+
+
+def run_in_batches(spark: SparkSession, path: str, counted: Callable[[DataFrame], DataFrame], label: str, files_per_trigger: int, scratch: Scratch | None = None) -> DataFrame:
+    """Run a stream over the files of a table in several batches, with a watermark as late as the files were measured to be, so that no row is lost.
+
+    State is dropped as the watermark goes on. A run that was broken off is taken up again by calling this with the same ``scratch``: batches that were
+    put out stay, one that was broken off is run again and replaces what it left.
+    """
+    scratch = scratch or Scratch(spark, label)
+    stream = counted(event_stream(spark, path, f"{lateness_seconds(spark, path) + 1} seconds", files_per_trigger))
+    _run(stream, f"{scratch.root}/out", f"{scratch.root}/state", "append")
+    return put_out(spark, stream, f"{scratch.root}/out")
