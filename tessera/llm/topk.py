@@ -12,7 +12,8 @@ entries. At the latest all is read, so nothing is approximate.
 Queries of a cell read a block's lists together, so that each step's entries are taken up once for many queries; each
 query keeps its own bounds and stops for itself.
 
-A candidate is copied once for each 65,536 queries, and each cell sends its k best a query on.
+A candidate is copied once for each cell of queries (65,536 of them, fewer where vectors are long: cells and blocks are bounded in bytes), and each cell
+sends its k best a query on.
 
 Defined cases: rows whose vector is null or holds a null, NaN or infinity take no part, nor do rows
 without an id; rows with a query's own id are not among its candidates; repeated rows are candidates
@@ -41,9 +42,12 @@ SCALE = 256.0
 EVERY = 50
 QUERY_CELL = 1 << 16  # queries of a cell, at most
 CANDIDATE_CELL = 1 << 16  # candidates of a cell, at most
-BLOCK = 4096  # candidates of a cell whose lists are held at once
-#: Share of the lists that is read before bounds are first looked at, and in each step after that.
-FIRST, STEP = 0.5, 0.0625
+CELL_BYTES = 32 << 20  # of a cell's queries, and of its candidates, at most (65,536 vectors of 64 components)
+BLOCK = 4096  # candidates of a cell whose lists are held at once, at most
+BLOCK_BYTES = 8 << 20  # of a block's vectors; with lists, orders and sums a block takes about twelve times as much
+#: Shares of the lists at which bounds are looked at. In many dimensions they rarely decide before half is read, and each look costs as
+#: much as a step, so the early ones are few.
+LOOKS = (0.25, *(0.5 + 0.0625 * i for i in range(9)))
 #: A query with so many candidates left, besides the k, is resolved.
 FEW = 64
 #: Queries that read a block's lists together.
@@ -123,8 +127,12 @@ class Lists:
         score, squares, beyond, rest = (np.zeros((len(going), n), kind) for _ in range(4))
         seen = np.zeros((2 * dims, n), kind)
         lengths = self.squares.astype(kind)
-        read, to = 0, int(n * FIRST)
-        while len(going) and to < n:
+        read = 0
+        for to in [int(n * share) for share in LOOKS]:
+            if to <= read:
+                continue
+            if not len(going) or to >= n:
+                break
             got, fresh = np.zeros((2, 2 * dims, n), kind)
             last = np.zeros(2 * dims, kind)
             for side, (order, values) in enumerate(zip(self.order, self.values)):
@@ -151,7 +159,7 @@ class Lists:
             for at in np.flatnonzero(few):
                 out[going[at]] = *self.resolved(queries[going[at]], np.flatnonzero(able[at]), k), to / n
             going, weight, score, squares, beyond, rest = (x[~few] for x in (going, weight, score, squares, beyond, rest))
-            read, to = to, min(n, to + max(1, int(n * STEP)))
+            read = to
         for i in going:
             out[i] = *self.resolved(queries[i], np.flatnonzero(self.ids != own[i]), k), 1.0
         return out
@@ -171,10 +179,16 @@ class Lists:
         return self.ids[best], scores[best]
 
 
+def vectors_in(size: int, most: int, dims: int) -> int:
+    """How many vectors of ``dims`` components ``size`` bytes hold, one at least and ``most`` at most."""
+    return max(1, min(most, size // (8 * max(1, dims))))
+
+
 def search_cell(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK) -> list[tuple[np.ndarray, np.ndarray]]:
     """``(ids, scores)`` of the k best of a cell's candidates for each query."""
     none = np.zeros(0, np.int64)
     best = [(none, none)] * len(queries)
+    block = vectors_in(BLOCK_BYTES, block, rows.shape[1])
     for at in range(0, len(rows), block):
         lists = Lists(rows[at : at + block], ids[at : at + block])
         for first in range(0, len(queries), TOGETHER):
@@ -192,15 +206,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     scratch = Scratch(vectors.sparkSession, "top-k")
     rows = vectors.select(vectors[id_col].alias("id"), quantised(vectors[vector_col]).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("row"))
     rows = scratch.table(rows.where("vec is not null and id is not null"))
-    n, n_queries = rows.agg(F.count("*"), F.count_if("asks")).first()
-    spread = lambda salt, size: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(size))
+    spread = lambda salt, size: F.pmod(F.xxhash64("row", F.lit(salt)), F.col(size)).cast("int")
     # Cells as large as memory allows, as each candidate goes to every query cell; but enough of them for all tasks.
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q_blocks, c_blocks = max(1, -(-n_queries // QUERY_CELL)), max(1, -(-n // CANDIDATE_CELL), min(-(-n // BLOCK), tasks))
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dim = F.octet_length("vec")
-    queries = rows.where("asks").select("id", "row", "vec", dim.alias("dim"), spread(1, q_blocks).cast("int").alias("qb"), every(c_blocks).alias("cb"))
-    candidates = rows.select("id", "vec", dim.alias("dim"), spread(2, c_blocks).cast("int").alias("cb"), every(q_blocks).alias("qb"))
+    held = lambda most: F.greatest(F.lit(1), F.least(F.lit(most), F.floor(CELL_BYTES / F.greatest(F.lit(1), F.col("dim")))))
+    parts = lambda n, size: F.greatest(F.lit(1), F.ceil(F.col(n) / size)).cast("int")
+    sizes = rows.groupBy(F.octet_length("vec").alias("dim")).agg(F.count("*").alias("n"), F.count_if("asks").alias("n_queries"))
+    blocks = scratch.table(sizes.select("dim", parts("n_queries", held(QUERY_CELL)).alias("q_blocks"), F.greatest(parts("n", held(CANDIDATE_CELL)), F.least(parts("n", F.lit(BLOCK)), F.lit(tasks))).alias("c_blocks")))
+    rows = rows.withColumn("dim", F.octet_length("vec")).join(blocks, "dim")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    queries = rows.where("asks").select("id", "row", "vec", "dim", spread(1, "q_blocks").alias("qb"), every("c_blocks").alias("cb"))
+    candidates = rows.select(*[F.col(c).alias(c) for c in ("id", "vec", "dim")], spread(2, "c_blocks").alias("cb"), every("q_blocks").alias("qb"))
 
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = {"row": [], "query_id": [], "vec_id": [], "score": []}

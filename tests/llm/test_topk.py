@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -85,3 +86,35 @@ def test_clashing_names(spark):
     for name in ("id", "vec", "asks", "row", "dim", "rank", "score"):
         df = df.withColumn(name, topk.F.lit("own"))
     assert sorted(map(tuple, topk.top_k(df, topk.F.col("vec_id") % 50 == 0).collect())) == want
+
+
+def test_long_vectors_take_bounded_memory():
+    g = np.random.default_rng(3)
+    rows, queries = np.floor(g.normal(0, 30, (1500, 4096))), np.floor(g.normal(0, 30, (20, 4096)))
+    assert topk.vectors_in(topk.CELL_BYTES, topk.CANDIDATE_CELL, 4096) * 8 * 4096 <= topk.CELL_BYTES and topk.vectors_in(topk.CELL_BYTES, topk.CANDIDATE_CELL, 64) == 1 << 16
+    assert topk.vectors_in(1, 10, 4096) == topk.vectors_in(1, 10, 0) == 1
+    tracemalloc.start()
+    found = topk.search_cell(queries, np.full(20, -1), rows, np.arange(1500), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20  # besides the cell's own vectors, whose bytes are bounded; a single block of all would take 600 MB
+    scores = rows @ queries.T
+    for i, (ids, best) in enumerate(found):
+        assert best.tolist() == sorted(scores[:, i].tolist(), reverse=True)[:5] and scores[ids, i].tolist() == best.tolist()
+
+
+def test_lengths_have_cells_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL_BYTES", 8 * 40)
+    r = random.Random(7)
+    rows = [(i, [float(r.randrange(-3, 4)) for _ in range((1, 4, 40, 90)[i % 4])]) for i in range(260)]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), topk.F.col("vec_id") % 50 == 0).collect()))
+    assert got == brute(rows)
+
+
+def test_an_early_look_ends_a_search_that_is_decided():
+    # One candidate in each direction: a quarter of the lists tells that no outsider qualifies.
+    g = np.random.default_rng(1)
+    rows = np.zeros((2000, 64))
+    rows[np.arange(2000), np.arange(2000) % 64] = g.integers(1, 1000, 2000)
+    ids, scores, share = topk.Lists(rows, np.arange(2000)).search(rows[70], -1, 3)
+    assert share == 0.25 and scores.tolist() == sorted((rows @ rows[70]).astype(int).tolist(), reverse=True)[:3]
