@@ -3,12 +3,12 @@
 Distinct pieces of a step (matches of the pattern) are put into matrices by length, one row a piece.
 Every round each row merges its leftmost pair of minimum rank: ranks of pairs come from a hash table
 held in arrays, the row is compacted, and only the two pairs beside the merge are looked up anew. Rows
-without a mergeable pair leave the matrix. Pieces over ``LONGEST_ROW`` bytes go one by one and merge all
-occurrences of their minimum pair in a round, which gives the same ids: a merge never makes a pair of
-lower or equal rank.
+without a mergeable pair leave the matrix. Pieces over ``LONGEST_ROW`` bytes go one by one and merge the
+occurrences of their minimum pair from the left in one round, up to the first whose merge makes a pair of lower or equal rank
+(as rank files allow): that pair comes first in one-by-one merging too.
 
-Defined cases: a null or empty text has no ids; repeated rows and null ids each give their own row; an
-empty table gives an empty table.
+Defined cases: a null or empty text has no ids; repeated rows and null ids each give their own row; of pairs of equal rank the leftmost merges
+first; long texts are encoded whole, piece by piece; an empty table gives an empty table; further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -125,6 +125,12 @@ def merge_long(ids: np.ndarray, pairs: PairTable) -> np.ndarray:
         fresh = np.append(True, np.diff(hits) > 1)
         run_start = hits[np.maximum.accumulate(np.where(fresh, np.arange(len(hits)), 0))]
         hits = hits[(hits - run_start) % 2 == 0]
+        # The pairs that each merge makes, with what stands beside it at that time.
+        before = np.where(np.append(False, hits[1:] == hits[:-1] + 2), best, ids[np.maximum(hits - 1, 0)])
+        lower = (hits > 0) & (pairs.ranks(before.astype(ids.dtype), np.full(len(hits), best, ids.dtype)) <= best)
+        after = hits + 2 < len(ids)
+        lower |= after & (pairs.ranks(np.full(len(hits), best, ids.dtype), ids[np.minimum(hits + 2, len(ids) - 1)]) <= best)
+        hits = hits[: int(lower.argmax()) + 1] if lower.any() else hits
         ids[hits] = best
         stays = np.ones(len(ids), bool)
         stays[hits + 1] = False

@@ -11,7 +11,8 @@ volume allows, when nothing is saved, or after ``rounds``.
 Only ids' digests and lengths are shuffled, not texts or ids; :func:`sequences` joins the ids on.
 
 Defined cases: a null or empty text is the end id alone; null ids and repeated rows are pieces of
-their own; an empty table gives an empty table.
+their own; between pieces of equal length and bins of equal gap either may come first, as sequences have any numbers; a long text is cut into as many
+pieces as it needs; an empty table gives an empty table; further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -5,8 +5,8 @@ step. Longest common prefixes of neighbouring suffixes give the maximal repeated
 the union of their spans is the repeated part of the text.
 
 Defined cases: a null or blank text has no words, so it fails the base rule (under 20 words); null
-ids are kept; repeated rows each get their own, equal result; an empty table gives an empty table;
-further columns pass through :func:`passing` untouched, whatever their names.
+ids are kept; repeated rows each get their own, equal result; no suffixes tie, as one is always longer; long texts are
+judged whole, one to a step; an empty table gives an empty table; further columns pass through :func:`passing` untouched, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ window function, so a text with many matches costs no more than its length. Noth
 is shuffled.
 
 Defined cases: a null text has no spans (and stays null when redacted); null ids and repeated rows each
-give their own row; an empty table gives an empty table.
+give their own row; spans that begin at one place (ties) come in the order of their kinds, and the method's span gives way to a base one; long texts are
+searched whole; an empty table gives an empty table; further columns pass through :func:`redact` untouched, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.functions import lit
 from tokenizers import Tokenizer
 
 from tessera.llm import packing
@@ -87,3 +88,13 @@ def test_bound_never_exceeds_the_optimum(lengths):
     bound = packing.lower_bound(np.bincount(lengths, minlength=25), 24)
     bins, offsets = packing.best_fit(np.array(lengths, np.int64), 24)
     assert bound <= fewest(sorted(lengths, reverse=True), 24) <= (bins.max() + 1 if len(bins) else 0)
+
+
+def test_clashing_columns(spark):
+    df = cases.docs(spark, extra=True)
+    for name in ("start", "ids", "ids_crc32", "sequence_id", "offset", "bin", "part"):
+        df = df.withColumn(name, lit("own"))
+    piece = lambda rows: sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=str)
+    got = packing.pack_documents(df).collect()
+    assert piece(got) == piece(packing.pack_documents(cases.docs(spark)).collect())
+    checked(got)
