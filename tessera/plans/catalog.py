@@ -150,7 +150,11 @@ sql("aggregate_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FR
 sql("aggregate_cube", "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS BIGINT) AS whole, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)")
 sql("aggregate_grouping_sets", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM {customer} GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())")
 sql("aggregate_filter_having", "SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM {orders} GROUP BY o_custkey HAVING count(*) > 11")
+# Of equal balances the SQL's engine, in one thread, names the first row and Spark's min_by the last one met: here the smallest key is named.
 sql("aggregate_statistics", """
+SELECT c_mktsegment, round(stddev_samp(c_acctbal), 4) AS spread, round(median(c_acctbal), 4) AS middle, round(corr(c_acctbal, c_custkey), 8) AS r,
+  min_by(c_name, struct(c_acctbal, coalesce(c_custkey, 9223372036854775807), c_name)) FILTER (WHERE c_acctbal IS NOT NULL AND c_name IS NOT NULL) AS poorest, bool_and(c_acctbal > -1000) AS solvent
+FROM {customer} GROUP BY c_mktsegment""", """
 SELECT c_mktsegment, round(stddev_samp(c_acctbal), 4) AS spread, round(median(c_acctbal), 4) AS middle, round(corr(c_acctbal, c_custkey), 8) AS r, min_by(c_name, c_acctbal) AS poorest, bool_and(c_acctbal > -1000) AS solvent
 FROM {customer} GROUP BY c_mktsegment""")
 
