@@ -79,8 +79,15 @@ FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM {supplier} WHERE s_
 sql("join_semi", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_quantity > 48)")
 sql("join_anti", "SELECT o_orderkey FROM {orders} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey)")
 sql("join_theta", "SELECT a.n_name AS one, b.n_name AS other FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
-sql("join_lateral_top", """
-SELECT c_custkey, t.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t""")
+
+
+@query("SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
+def join_lateral_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nulls come last both ways, as in the SQL's engine; Spark's own ``ORDER BY`` has them first where it ascends."""
+    orders = table(spark, sf_dir, "orders").where("o_custkey IS NOT NULL").select("o_custkey", "o_totalprice", "o_orderkey")
+    best = top_k_per_group(orders, ["o_custkey"], [F.desc_nulls_last("o_totalprice"), F.asc_nulls_last("o_orderkey")], 2)
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    return customers.join(best, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
