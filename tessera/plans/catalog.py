@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -370,8 +372,8 @@ def sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").sample(fraction=0.1, seed=7).select("l_orderkey", "l_linenumber")
 
 
-#: Groups that the rows of one user are dealt to.
-GROUP_PARTS = 8
+#: Rows of one group of a grouped Python function, about.
+GROUP_ROWS = 100_000
 
 
 # Python functions over Arrow batches
@@ -395,16 +397,18 @@ SELECT user_id, event_id, CAST(cents * count(*) OVER u - CAST(sum(cents) OVER u
 FROM (SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events) WINDOW u AS (PARTITION BY user_id)
 """)
 def python_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole cents from the user's mean. A user's rows are dealt to several groups, so none has to hold all of a user's; sums of all are known before."""
+    """Whole cents from the user's mean. Rows are dealt to groups of about ``GROUP_ROWS``, so a group holds many small users or a share of a large one; sums of all are known before."""
     events = table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
-    sums = events.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("cents").alias("total"))
-    dealt = events.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(GROUP_PARTS))).join(sums, "user_id")
+    sums = events.groupBy(F.col("user_id").alias("_user")).agg(F.count("*").alias("n"), F.sum("cents").alias("total"))
+    groups = max(1, -(-events.count() // GROUP_ROWS))
+    dealt = events.join(sums, F.col("user_id").eqNullSafe(F.col("_user"))).withColumn("part", F.pmod(F.xxhash64("user_id", "event_id", "cents"), F.lit(groups)))
 
-    def centred(f):
+    def centred(t: pa.Table) -> pa.Table:
         # Whole cents add up exactly in any order; one division at the end.
-        return f.assign(off=(f["cents"] * f["n"] - f["total"]).astype("float64") / (100 * f["n"]))[["user_id", "event_id", "off"]]
+        away = pc.subtract(pc.multiply(t["cents"], t["n"]), t["total"]).cast(pa.float64(), safe=False)
+        return t.select(["user_id", "event_id"]).append_column("off", pc.divide(away, pc.multiply(t["n"], 100).cast(pa.float64(), safe=False)))
 
-    return dealt.groupBy("user_id", "part").applyInPandas(centred, "user_id long, event_id long, off double")
+    return dealt.groupBy("part").applyInArrow(centred, "user_id long, event_id long, off double")
 
 
 # Streams, run over all there is; windows that the last watermark (the newest time less an hour) has not passed stay open
