@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
 def vowel_share(text: Column | str) -> Column:
@@ -23,14 +24,20 @@ def vowel_share(text: Column | str) -> Column:
     return run(text)
 
 
-def geometric_mean(values: Column | str) -> Column:
-    """The geometric mean of positive values, as a grouped pandas function."""
+def geometric_means(rows: DataFrame, by: list[str], values: str, name: str) -> DataFrame:
+    """``by`` and the geometric mean of positive values, null if there are none.
 
-    @F.pandas_udf("double")
-    def run(v: pd.Series) -> float:
-        return float(np.exp(np.log(v).mean()))
+    Python adds up logarithms by group within each Arrow batch, Spark the few sums of all batches, so no task holds a group.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logs = pa.table([*batch.columns[:-1], pc.ln(batch.columns[-1])], names=[*by, "_log"])
+            yield from logs.group_by(by, use_threads=False).aggregate([("_log", "sum"), ("_log", "count")]).select([*by, "_log_sum", "_log_count"]).to_batches()
 
-    return run(values)
+    kinds = StructType([*[rows.schema[c] for c in by], StructField("_log_sum", DoubleType()), StructField("_log_count", LongType())])
+    added = rows.select(*by, F.col(values).cast("double")).mapInArrow(sums, kinds).groupBy(*by)
+    return added.agg(F.exp(F.sum("_log_sum") / F.nullif(F.sum("_log_count"), F.lit(0))).alias(name))
 
 
 class _Words:

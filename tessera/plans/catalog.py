@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import streaming
-from tessera.functions import day_of_week, geometric_mean, json_long, ntz_trunc, time_bucket, vowel_share, words
+from tessera.functions import day_of_week, geometric_means, json_long, ntz_trunc, time_bucket, vowel_share, words
 from tessera.functions import semistructured
 from tessera.operators import asof_join, daily_sketches, exact_quantiles, inequality_join, interval_join, not_in, over_spans, reach, salted_join, sessions, top_k_per_group, whole_ranks
 from tessera.operators.sketches import STANDARD_ERROR
@@ -384,7 +384,7 @@ def python_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_returnflag, round(exp(avg(ln(l_extendedprice))), 4) AS typical FROM lineitem GROUP BY l_returnflag")
 def python_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(geometric_mean("l_extendedprice"), 4).alias("typical"))
+    return geometric_means(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", "typical").withColumn("typical", F.round("typical", 4))
 
 
 @query("SELECT p_partkey, w AS word, CAST(i - 1 AS INTEGER) AS place FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part)")

@@ -1,5 +1,6 @@
 """Python functions by group, on groups that are many, large, null or empty."""
 
+import math
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -24,3 +25,20 @@ def test_rows_of_many_small_users_and_one_large_share_groups(spark, tmp_path, mo
     # A group is no user: there are as many as the rows ask for.
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow [part" in plan
+
+
+def test_geometric_means_come_from_sums_of_batches(spark):
+    from tessera.functions import geometric_means
+
+    rows = [(g, 1.0 + i % 17 if g != "none" else None) for i, g in enumerate(["a", "a", "b", None, "none"] * 400)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = geometric_means(df, ["g"], "v", "typical")
+    want = {}
+    for g in {g for g, _ in rows}:
+        logs = [math.log(v) for x, v in rows if x == g and v is not None]
+        want[g] = math.exp(math.fsum(logs) / len(logs)) if logs else None
+    found = {r.g: r.typical for r in got.collect()}
+    assert found.keys() == want.keys() and all(v is None and found[g] is None or math.isclose(v, found[g], rel_tol=1e-12) for g, v in want.items())
+    assert geometric_means(df.limit(0), ["g"], "v", "typical").count() == 0
+    # No task is handed a group: Python comes before the exchange.
+    assert "AggregateInPandas" not in got._jdf.queryExecution().toString() and "ArrowAggregate" not in got._jdf.queryExecution().toString()
