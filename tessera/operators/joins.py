@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql.types import DateType, DecimalType, NumericType, StructField, S
 from pyspark.sql.window import Window
 
 from tessera.operators.ordered import KEY_ROWS, PART, edges, largest_key, ordered_parts, same
+from tessera.session import Scratch
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], key_rows: int = KEY_ROWS) -> DataFrame:
@@ -84,13 +87,22 @@ def dyadic_cover(first: str, end: str) -> Column:
     return F.expr(f"filter(concat({left}, {right}), b -> b is not null)")
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, width: float) -> DataFrame:
+#: Candidate pairs that a task of an interval join looks at, about.
+TASK_PAIRS = 4_000_000
+#: Blocks that are dealt to several tasks, and tasks of an interval join, at most; beyond, a task has more pairs.
+MOST_DEALT = 10_000
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, width: float, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """Pairs with ``start <= point < end``, for intervals of any length, by an equality join.
 
     The axis (numbers, dates or timestamps; seconds, for times) is cut into cells of ``width``. An interval is taken apart into aligned blocks
     of 1, 2, 4, ... cells, at most two of each size, and a point has one block of each size that some interval uses: so an interval
     over ``n`` cells makes ``2 log n`` rows, a point no more than there are sizes, and each pair meets once. ``width`` should be near the
     shortest common length: it decides only how many candidates are looked at in vain.
+
+    Candidates are counted before. If there are more than ``task_pairs``, there are as many more tasks, and a block with more deals its longer side
+    to several of them, each with all of its shorter side. The counts stand for rows, so small tables with very many pairs are spread too.
     """
     names = lambda df: [F.col(c) for c in df.columns]
     reach = intervals.where(F.col(start) < F.col(end)).select(*names(intervals), _cell(intervals, start, width).alias("_lo"), (_cell(intervals, end, width) + 1).alias("_hi"))
@@ -100,7 +112,26 @@ def interval_join(points: DataFrame, intervals: DataFrame, point: str, start: st
         levels = [0]
     own = points.where(F.col(point).isNotNull()).select(*names(points), _cell(points, point, width).alias("_cell"), F.explode(F.array(*[F.lit(i) for i in sorted(levels)])).alias("_level"))
     own = own.withColumn("_block", F.expr("shiftright(_cell, _level)")).drop("_cell")
-    return own.join(blocks, ["_level", "_block"]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_level", "_block")
+    keys, fits = ["_level", "_block"], (F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))
+    counted = own.groupBy(*keys).agg(F.count("*").alias("_n")).join(blocks.groupBy(*keys).agg(F.count("*").alias("_m")), keys)
+    met = Scratch(points.sparkSession, "interval-blocks").table(counted.withColumn("_pairs", F.col("_n").cast("double") * F.col("_m")))
+    total = met.agg(F.sum("_pairs")).first()[0] or 0
+    if total <= task_pairs:
+        return own.join(blocks, keys).where(fits).drop(*keys)
+
+    most = max(task_pairs, total / MOST_DEALT)
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / most))
+    deals = F.least(F.ceil(F.col("_pairs") / most), F.greatest("_n", "_m")).cast("int")
+    hot = F.broadcast(met.where(F.col("_pairs") > most).select(*keys, deals.alias("_deals"), (F.col("_n") >= F.col("_m")).alias("_points_dealt")))  # MOST_DEALT rows at most
+
+    def dealt(rows: DataFrame, long_side: Column) -> DataFrame:
+        one = F.array(F.pmod(F.monotonically_increasing_id(), F.col("_deals")).cast("int"))
+        to = F.when(F.col("_deals").isNull(), F.array(F.lit(0))).when(long_side, one).otherwise(F.sequence(F.lit(0), F.col("_deals") - 1))
+        return rows.join(hot, keys, "left").withColumn("_deal", F.explode(to)).drop("_deals", "_points_dealt").repartition(tasks, *keys, "_deal")
+
+    ours, theirs = dealt(own, F.col("_points_dealt")), dealt(blocks, ~F.col("_points_dealt"))
+    # A merge join of both sides' parts: one that sends a side to all tasks would leave the pairs to the few tasks that read the other.
+    return ours.join(theirs.hint("merge"), [*keys, "_deal"]).where(fits).drop(*keys, "_deal")
 
 
 def not_in(left: DataFrame, column: str, right: DataFrame, right_column: str) -> DataFrame:

@@ -160,3 +160,14 @@ def test_inequality_join_of_nothing_and_its_plan(spark):
         inequality_join(left, left, ("a", "<", "a"), ("b", "<", "b"))
     with pytest.raises(TypeError):
         inequality_join(left, right.select(F.col("c").cast("string"), "d"), ("a", "<", "c"), ("b", "<", "d"))
+
+
+def test_pairs_of_an_interval_join_are_dealt_to_tasks_by_their_number(spark):
+    """One crowded block with more points, one with more intervals, and others."""
+    points = spark.range(3000).select("id", F.when(F.col("id") < 2500, 5.0).when(F.col("id") < 2510, 45.0).otherwise(F.col("id") / 10).alias("p"))
+    spans = spark.range(900).select(F.col("id").alias("span"), F.when(F.col("id") < 60, 4.0).when(F.col("id") < 850, 44.0).otherwise(F.col("id") / 3).alias("a")).withColumn("b", F.col("a") + 3)
+    want = points.join(spans, (F.col("p") >= F.col("a")) & (F.col("p") < F.col("b")))
+    got = interval_join(points, spans, "p", "a", "b", 3.0, task_pairs=10_000)
+    assert got.columns == want.columns and rows_of(got, "id", "span") == rows_of(want, "id", "span")
+    sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) > 150_000 and max(sizes) < 50_000  # of one block with 150,000 pairs
