@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, NumericType, StructField, StructType, TimestampNTZType, TimestampType
@@ -153,8 +155,18 @@ def salted_join(facts: DataFrame, keys: DataFrame, on: str, salts: int = 16) ->
 _PASSES = {"<": ("above", "right"), "<=": ("above", "left"), ">": ("below", "left"), ">=": ("below", "right")}
 
 
+#: Pairs that a task of an inequality join holds before it hands them on, about.
+HELD_PAIRS = 1 << 16
+
+
 def inequality_pairs(left_x: np.ndarray, left_y: np.ndarray, right_x: np.ndarray, right_y: np.ndarray, x_op: str, y_op: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs with ``left_x x_op right_x`` and ``left_y y_op right_y``.
+    """Places of all pairs with ``left_x x_op right_x`` and ``left_y y_op right_y``."""
+    found = [*pairs_in_steps(left_x, left_y, right_x, right_y, x_op, y_op), (np.zeros(0, np.int64),) * 2]
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
+def pairs_in_steps(left_x: np.ndarray, left_y: np.ndarray, right_x: np.ndarray, right_y: np.ndarray, x_op: str, y_op: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same, ``HELD_PAIRS`` and the pairs of one left row at most at once.
 
     The right side is sorted by x, and a permutation tells where the rows of its y order stand there. Left rows come in the y order in which
     more and more right rows pass the second comparison; each of these sets its bit, and a left row reads the bits of those that pass the first.
@@ -167,7 +179,7 @@ def inequality_pairs(left_x: np.ndarray, left_y: np.ndarray, right_x: np.ndarray
     lo, hi = (at_x, np.full(len(at_x), len(by_x))) if x_end == "above" else (np.zeros(len(at_x), np.int64), at_x)
     entering = place[by_y[::-1] if y_end == "above" else by_y]
     passing = len(by_y) - at_y if y_end == "above" else at_y
-    bits, entered, out_left, out_right = np.zeros(len(by_x), bool), 0, [], []
+    bits, entered, out_left, out_right, held = np.zeros(len(by_x), bool), 0, [], [], 0
     for row in np.argsort(passing, kind="stable"):
         if passing[row] > entered:
             bits[entering[entered : passing[row]]] = True
@@ -176,8 +188,12 @@ def inequality_pairs(left_x: np.ndarray, left_y: np.ndarray, right_x: np.ndarray
         if len(found):
             out_left.append(np.full(len(found), row))
             out_right.append(by_x[found])
-    none = np.zeros(0, np.int64)
-    return np.concatenate(out_left or [none]), np.concatenate(out_right or [none])
+            held += len(found)
+        if held >= HELD_PAIRS:
+            yield np.concatenate(out_left), np.concatenate(out_right)
+            out_left, out_right, held = [], [], 0
+    if held:
+        yield np.concatenate(out_left), np.concatenate(out_right)
 
 
 def _comparable(column: pa.ChunkedArray) -> np.ndarray:
@@ -189,13 +205,17 @@ def _comparable(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
+def nullable(df: DataFrame) -> list[StructField]:
+    return [StructField(f.name, f.dataType) for f in df.schema.fields]
+
+
 def inequality_join(left: DataFrame, right: DataFrame, x: tuple[str, str, str], y: tuple[str, str, str], rows_per_part: int = 4096) -> DataFrame:
     """Pairs that pass two comparisons ``(left column, op, right column)``, op one of ``< <= > >=``, without an equality and without a nested loop.
 
     Both sides are dealt to parts of about ``rows_per_part`` rows in the order of ``x``. Only parts whose ranges of both columns allow a pair meet, and there
     pairs are found by a sorted permutation and a bit array (:func:`inequality_pairs`). Columns are whole or floating numbers, dates or
     timestamps, of one type a comparison; nulls pass none, NaN is the largest value. The sides must not share a column's name. A meeting of two
-    parts makes all its pairs at once: at most ``rows_per_part`` squared.
+    parts holds their rows and hands its pairs on ``HELD_PAIRS`` at a time, however many it makes.
     """
     if shared := set(left.columns) & set(right.columns):
         raise ValueError(f"both sides have {sorted(shared)}")
@@ -222,11 +242,14 @@ def inequality_join(left: DataFrame, right: DataFrame, x: tuple[str, str, str],
     their_rows = other.withColumnRenamed(PART, "_theirs").join(met(), "_theirs").select(*right.columns, "_mine", "_theirs")
     mine_names, their_names = left.columns, right.columns
 
-    def pairs(one: pa.Table, two: pa.Table) -> pa.Table:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        one, two = rows.filter(rows["_left"]).select(mine_names).combine_chunks(), rows.filter(pc.invert(rows["_left"])).select(their_names).combine_chunks()
         columns = [_comparable(t[c]) for t, c in ((one, x[0]), (one, y[0]), (two, x[2]), (two, y[2]))]
-        i, j = inequality_pairs(*columns, x[1], y[1])
-        one, two = one.select(mine_names).take(pa.array(i)), two.select(their_names).take(pa.array(j))
-        return pa.table([*one.columns, *two.columns], names=[*mine_names, *their_names])
+        for i, j in pairs_in_steps(*columns, x[1], y[1]):
+            found = pa.table([*one.take(pa.array(i)).columns, *two.take(pa.array(j)).columns], names=[*mine_names, *their_names])
+            yield from found.combine_chunks().to_batches()
 
-    keys = ["_mine", "_theirs"]
-    return mine_rows.groupBy(*keys).cogroup(their_rows.groupBy(*keys)).applyInArrow(pairs, StructType([*left.schema.fields, *right.schema.fields]))
+    # Both sides in one table, told apart by a flag: groups of one table can be handed on in steps, those of two can't.
+    both = mine_rows.withColumn("_left", F.lit(True)).unionByName(their_rows.withColumn("_left", F.lit(False)), allowMissingColumns=True)
+    return both.groupBy("_mine", "_theirs").applyInArrow(pairs, StructType([*nullable(left), *nullable(right)]))

@@ -171,3 +171,19 @@ def test_pairs_of_an_interval_join_are_dealt_to_tasks_by_their_number(spark):
     assert got.columns == want.columns and rows_of(got, "id", "span") == rows_of(want, "id", "span")
     sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) > 150_000 and max(sizes) < 50_000  # of one block with 150,000 pairs
+
+
+def test_pairs_of_inequalities_come_in_steps(spark, monkeypatch):
+    from tessera.operators import joins
+
+    monkeypatch.setattr(joins, "HELD_PAIRS", 1000)
+    r = np.random.default_rng(3)
+    lx, ly, rx, ry = r.integers(0, 50, 400), r.integers(0, 50, 400), r.integers(0, 50, 300), r.integers(0, 50, 300)
+    steps = list(joins.pairs_in_steps(lx, ly, rx, ry, "<", ">="))
+    want = {(i, j) for i in range(400) for j in range(300) if lx[i] < rx[j] and ly[i] >= ry[j]}
+    assert sum(len(i) for i, _ in steps) == len(want) and {p for i, j in steps for p in zip(i.tolist(), j.tolist())} == want
+    assert len(steps) > 10 and max(len(i) for i, _ in steps) < 1000 + 300
+    a, b = (spark.createDataFrame([(k, int(x), int(y)) for k, (x, y) in enumerate(zip(*xy))], f"{n} int, {n}x int, {n}y int") for n, xy in (("a", (lx, ly)), ("b", (rx, ry))))
+    got = inequality_join(a, b, ("ax", "<", "bx"), ("ay", ">=", "by"))
+    assert {(p.a, p.b) for p in got.collect()} == want and got.count() == len(want)
+    assert "CoGroup" not in got._jdf.queryExecution().toString()  # that hands on all pairs of a meeting at once
