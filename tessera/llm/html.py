@@ -14,9 +14,10 @@ mismatch, becomes optional, and texts at the same place become one slot. Every p
    an element of such slots is only the template's if the texts that differ from page to page, headings aside, hold more than it does. So a report
    that many pages carry is main text on all of them.
 
-Wrappers come from the ``SAMPLE`` pages of a host with the smallest hashes of their content; pages of equal content count once. What a task
-has seen of a host goes on as outlines (tags, hashes and lengths of texts), ``SAMPLE`` a host, so a host of any size is bounded. Only wrappers with slots of the
-template's own are handed to the tasks that read pages; where a host has none, its wrapper leaves nothing out.
+Wrappers come from all pages of a host; pages of equal content count once. Every structure that occurs (tags, folded) is merged into the host's expression,
+in 64 parts and then as one; then every page is read through it, and what texts stand in which slot is counted page by page. Tasks hand on sums by slot, with at most
+``ROTATING`` texts each, so a host of any size is bounded. Neighbours that no order of at most ``LONG`` terms holds are merged by what they are. Only wrappers with slots of
+the template's own are handed to the tasks that read pages; where a host has none, its wrapper leaves nothing out.
 
 Tags are taken as nested; stray, missing and crossed end tags are put right as browsers do, roughly.
 
@@ -40,21 +41,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm import columns as C
 from tessera.session import Scratch
 
-#: Pages of a host that its wrapper is inferred from.
+#: Pages at which the two bounds that follow are the same.
 SAMPLE = 16
-#: The template's own slots have each of their texts on so many of these pages, on average,
+#: The template's own slots have each of their texts on so many of a host's pages, on average, and on this share of them,
 CONSTANT_PAGES = 4
+CONSTANT_SHARE = CONSTANT_PAGES / SAMPLE
 #: hold at most so many different texts,
 ROTATING = 8
 #: and stand on at least this share of them.
 HOST_SHARE = 0.5
-#: Outlines that a task holds before it hands them on.
+#: Structures, or slots' sums, that a task holds before it hands them on.
 HANDED_ON = 1024
+#: Outlines of which a task remembers what their texts are to the wrapper.
+REMEMBERED = 4096
 #: Bytes of wrappers that are sent to all tasks; beyond that they are joined by a shuffle.
 SENT_BYTES = 16 << 20
 #: Neighbours that a repeated group may have; levels of a page that are aligned; neighbours that are aligned without being folded.
@@ -292,19 +295,21 @@ def content_of(found: list[Block]) -> int:
 class Term:
     """One term of a wrapper: a text slot, an element with terms inside, or a group of neighbours that occurs again (``sign`` "()").
 
-    ``pages`` are the pages that a slot's texts stand on, by the texts' hashes, None for more than ``ROTATING`` texts.
+    ``texts`` counts the pages that each of a slot's texts stands on, by the texts' hashes, None for more than ``ROTATING`` texts; ``on`` the slot's pages.
     """
 
     sign: str
     inside: list[Term] = field(default_factory=list)
     optional: bool = False
     repeated: bool = False
-    pages: dict[int, set[int]] | None = None
+    texts: dict[int, int] | None = None
+    on: int = 0
     chars: int = 0  # of texts that may be the template's or the body's
     stays: bool = False
     heading: bool = False
     blocks: list[int] = field(default_factory=list)  # of the page that is being read
     own: bool = False  # the template's
+    number: int = -1
 
     @property
     def key(self):
@@ -331,16 +336,18 @@ def outline(root: Node, found: list[Block]) -> list:
     return out
 
 
-def terms_of(items: list, texts: list[tuple], page: int) -> list[Term]:
-    """An outline as terms, folded; ``texts``: each block's hash, length, and whether it stays and is a heading."""
-    out = []
-    for item in items:
-        if isinstance(item, int):
-            number, chars, stays, heading = texts[item]
-            out.append(Term(TEXT, pages={number: {page}}, chars=chars, stays=stays, heading=heading, blocks=[item]))
-        else:
-            out.append(Term(item[0], terms_of(item[1], texts, page)))
-    return folded(out)
+def terms_of(items: list) -> list[Term]:
+    """An outline as terms, folded."""
+    return folded([Term(TEXT, blocks=[x]) if isinstance(x, int) else Term(x[0], terms_of(x[1])) for x in items])
+
+
+def skeleton(terms: list[Term]) -> list:
+    """Terms without texts, as nested lists."""
+    return [[t.sign, skeleton(t.inside), 2 * t.optional + t.repeated] for t in terms]
+
+
+def from_skeleton(items: list) -> list[Term]:
+    return [Term(sign, from_skeleton(inside), optional=marks > 1, repeated=marks % 2 > 0) for sign, inside, marks in items]
 
 
 def joined(a: Term, b: Term) -> Term:
@@ -348,15 +355,7 @@ def joined(a: Term, b: Term) -> Term:
     a.optional |= b.optional
     a.repeated |= b.repeated
     if a.sign == TEXT:
-        a.chars += b.chars
-        a.stays |= b.stays
-        a.heading |= b.heading
         a.blocks += b.blocks
-        if a.pages is not None and b.pages is not None:
-            for number, pages in b.pages.items():
-                a.pages.setdefault(number, set()).update(pages)
-        if a.pages is None or b.pages is None or len(a.pages) > ROTATING:
-            a.pages = None
     elif a.sign == "()":
         a.inside = [joined(x, y) for x, y in zip(a.inside, b.inside, strict=True)]
     else:
@@ -442,11 +441,23 @@ def merged(a: list[Term], b: list[Term]) -> list[Term]:
         if x < len(a):
             out.append(joined(a[x], b[y]))
         i, j = x + 1, y + 1
-    return out
+    return out if len(out) <= LONG else by_kind(out)
 
 
-def read_through(wrapper: list[Term], page: list[Term]) -> Iterator[int]:
-    """The blocks of a page that stand in slots of the template's own."""
+def by_kind(terms: list[Term]) -> list[Term]:
+    """One optional term for all with the same key."""
+    out: dict = {}
+    for t in terms:
+        if t.key in out:
+            joined(out[t.key], t).repeated = True
+        else:
+            out[t.key] = t
+        out[t.key].optional = True
+    return [*out.values()]
+
+
+def read_through(wrapper: list[Term], page: list[Term]) -> Iterator[tuple[Term, list[int]]]:
+    """The slots that a page's texts stand in, with the texts' blocks."""
     todo = [(wrapper, page)]
     while todo:
         a, b = todo.pop()
@@ -458,7 +469,7 @@ def read_through(wrapper: list[Term], page: list[Term]) -> Iterator[int]:
                 if s.sign == "()":
                     todo.append(([s], [t]))
                 elif s.sign == TEXT:
-                    yield from t.blocks if s.own else []
+                    yield s, t.blocks
                 else:
                     todo.append((s.inside, t.inside))
 
@@ -486,13 +497,12 @@ def constant_parts(terms: list[Term], few: set[Term]) -> tuple[list[list[Term]],
     return parts, whole
 
 
-def template(wrapper: list[Term], n: int, constant_pages: int) -> bool:
-    """Mark the template's own slots of a wrapper of ``n`` pages; whether there are any."""
+def template(wrapper: list[Term], n: int, constant_pages: int, body: int = 0) -> bool:
+    """Mark the template's own slots of a wrapper of ``n`` pages; whether there are any. ``body`` is what stands in no slot."""
     few: set[Term] = set()
-    body = 0
     for slot in slots(wrapper):
-        on = set().union(*slot.pages.values()) if slot.pages is not None else set()
-        if slot.pages is not None and len(on) >= constant_pages * len(slot.pages) and len(on) >= HOST_SHARE * n:
+        least = max(constant_pages, CONSTANT_SHARE * n) * len(slot.texts or ())
+        if slot.texts is not None and slot.on >= max(least, HOST_SHARE * n, 1):
             few |= set() if slot.stays else {slot}
         elif not slot.heading:
             body += slot.chars
@@ -522,17 +532,100 @@ def outlined(page: str) -> tuple[int, str, list[Block]]:
     return content_of(found), json.dumps([outline(root, found), texts], separators=(",", ":")), found
 
 
-def infer(outlines: list[str], constant_pages: int = CONSTANT_PAGES) -> list[Term]:
-    """The wrapper of some pages of one host, from their outlines."""
+def shown(items: list) -> str:
+    return json.dumps(items, separators=(",", ":"))
+
+
+def structure(skeletons: list[str]) -> str:
+    """One expression for all of a host's structures."""
     wrapper: list[Term] | None = None
-    for i, text in enumerate(outlines):
-        terms = terms_of(*json.loads(text), i)
+    for text in sorted(skeletons):
+        terms = from_skeleton(json.loads(text))
         wrapper = terms if wrapper is None else merged(wrapper, terms)
-    wrapper = wrapper or []
-    template(wrapper, len(outlines), constant_pages)
+    return shown(skeleton(wrapper or []))
+
+
+def numbered(expression: str) -> list[Term]:
+    wrapper = from_skeleton(json.loads(expression))
+    for i, slot in enumerate(slots(wrapper)):
+        slot.number = i
     return wrapper
 
 
+class Sums:
+    """What stands in each slot of each host's wrapper: ``(host, slot)`` to a count of pages, by text and in all, characters, and marks.
+
+    Slot -1 is for texts in no slot, -2 for the page itself.
+    """
+
+    def __init__(self):
+        self.held: dict[tuple, list] = {}
+        self.known: dict[tuple, dict[int, int]] = {}
+
+    def slots_of(self, host: str, expression: str, items: list) -> dict[int, int]:
+        """The slot of each block; the same for all pages with an outline."""
+        key = host, shown(items)
+        if key not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[key] = {b: s.number for s, found in read_through(numbered(expression), terms_of(items)) for b in found}
+        return self.known[key]
+
+    def page(self, host: str, expression: str, text: str) -> None:
+        items, texts = json.loads(text)
+        where, on = self.slots_of(host, expression, items), {-2: {}}
+        main = {i for i in numbers(items)}
+        for i, (number, chars, stays, heading) in enumerate(texts):
+            if i in main:
+                slot = where.get(i, -1)
+                own = on.setdefault(slot, {})
+                own[number] = 1
+                sums = self.held.setdefault((host, slot), [{}, 0, 0, False, False])
+                sums[2:] = sums[2] + chars * (slot >= 0 or not heading), sums[3] | stays, sums[4] | heading
+        for slot, own in on.items():
+            self.add(host, slot, own if slot >= 0 else None, 1, 0, False, False)
+
+    def add(self, host: str, slot: int, texts: dict[int, int] | None, on: int, chars: int, stays: bool, heading: bool) -> None:
+        sums = self.held.setdefault((host, slot), [{}, 0, 0, False, False])
+        if texts is None or sums[0] is None:
+            sums[0] = None
+        else:
+            for number, n in texts.items():
+                sums[0][number] = sums[0].get(number, 0) + n
+            if len(sums[0]) > ROTATING:
+                sums[0] = None
+        sums[1:] = sums[1] + on, sums[2] + chars, sums[3] | stays, sums[4] | heading
+
+    def decided(self, host: str, expression: str, constant_pages: int) -> list[Term]:
+        """The host's wrapper with the template's own slots marked."""
+        wrapper = numbered(expression)
+        for slot in slots(wrapper):
+            slot.texts, slot.on, slot.chars, slot.stays, slot.heading = self.held.get((host, slot.number), (None, 0, 0, False, False))
+        of = lambda slot: self.held.get((host, slot), (None, 0, 0))
+        template(wrapper, of(-2)[1], constant_pages, of(-1)[2])
+        return wrapper
+
+
+def numbers(items: list) -> Iterator[int]:
+    """The blocks of an outline."""
+    todo = [*items]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, int):
+            yield x
+        else:
+            todo += x[1]
+
+
+def infer(outlines: list[str], constant_pages: int = CONSTANT_PAGES) -> list[Term]:
+    """The wrapper of all pages of one host, from their outlines."""
+    expression = structure([*{shown(skeleton(terms_of(json.loads(text)[0]))) for text in outlines}])
+    sums = Sums()
+    for text in outlines:
+        sums.page("", expression, text)
+    return sums.decided("", expression, constant_pages)
+
+
 def packed(terms: list[Term]) -> list:
     """What reading needs of a wrapper, as nested lists."""
     return [int(t.own) if t.sign == TEXT else [t.sign, packed(t.inside)] for t in terms]
@@ -543,54 +636,98 @@ def unpacked(items: list) -> list[Term]:
 
 
 def host_outlines(rows: DataFrame) -> DataFrame:
-    """``(host, content, outline)``: of each task and host the ``SAMPLE`` pages of different content with the smallest hashes."""
-    sample, most_held = SAMPLE, HANDED_ON
+    """``(host, content, outline)`` of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[int, str]] = {}
+        for batch in batches:
+            found = [outlined(page)[:2] for page in C.filled(batch.column(1)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], names=["host", "content", "outline"])
+
+    return rows.select("host", "html").mapInArrow(run, "host string, content long, outline string")
+
+
+def structures(outlines: DataFrame) -> DataFrame:
+    """``(host, expression)`` of all structures that occur on a host."""
+    most_held = HANDED_ON
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[tuple[str, str]] = set()
+        known: dict[str, str] = {}
 
         def handed_on() -> pa.RecordBatch:
-            flat = [(host, content, text) for host, own in held.items() for content, text in own.items()]
+            out = pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], pa.string()) for i in (0, 1)], names=["host", "skeleton"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["host", "content", "outline"])
+            return out
 
-        n = 0
         for batch in batches:
-            for host, page in zip(batch.column(0).to_pylist(), C.filled(batch.column(1)).to_pylist()):
-                content, text, _ = outlined(page)
-                own = held.setdefault(host, {})
-                if content in own:
-                    own[content] = min(own[content], text)
-                elif len(own) < sample or content < max(own):
-                    own[content] = text
-                    n += 1
-                    if len(own) > sample:
-                        del own[max(own)]
-                        n -= 1
-                if n >= most_held:
-                    n = 0
+            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                items = json.loads(text)[0]
+                key = shown(items)
+                if key not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[key] = shown(skeleton(terms_of(items)))
+                held.add((host, known[key]))
+                if len(held) >= most_held:
                     yield handed_on()
         yield handed_on()
 
-    return rows.select("host", "html").mapInArrow(run, "host string, content long, outline string")
+    def one(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = structure([x for b in batches for x in b.column("skeleton").to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.string()), pa.array([text], pa.string())], names=["host", "skeleton"])
+
+    found = outlines.select("host", "outline").mapInArrow(seen, "host string, skeleton string").distinct()
+    found = found.groupBy("host", F.pmod(F.xxhash64("skeleton"), F.lit(64)).alias("part")).applyInArrow(one, "host string, skeleton string")
+    return found.groupBy("host").applyInArrow(one, "host string, skeleton string").withColumnRenamed("skeleton", "expression")
+
+
+def handed(rows: DataFrame, known: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """``rows`` with their hosts' ``name`` (null for those that are broadcast), and the broadcast, which is empty if it were too large."""
+    size = known.agg(F.sum(F.octet_length(name) + F.octet_length("host"))).first()[0] or 0
+    sent = rows.sparkSession.sparkContext.broadcast(dict(known.select("host", name).collect()) if size <= SENT_BYTES else {})
+    return (rows.join(known, "host", "left") if size > SENT_BYTES else rows.withColumn(name, F.lit(None).cast("string"))), sent
 
 
 def wrappers(rows: DataFrame) -> DataFrame:
     """``(host, wrapper)`` of hosts whose template has slots of its own."""
-    outlines = host_outlines(rows).groupBy("host", "content").agg(F.min("outline").alias("outline"))
-    for part in (F.pmod("content", F.lit(64)), None):  # a host's pages come from all tasks: first in parts, so that no task gathers them all
-        w = Window.partitionBy("host", *([] if part is None else [part])).orderBy("content")
-        outlines = outlines.withColumn("n", F.row_number().over(w)).where(F.col("n") <= SAMPLE).drop("n")
+    scratch = Scratch(rows.sparkSession, "html-outlines")
+    outlines = scratch.table(host_outlines(rows).groupBy("host", "content").agg(F.min("outline").alias("outline")))
+    known = scratch.table(structures(outlines))
+    pages, sent = handed(outlines.select("host", "outline"), known, "expression")
+    most_held, constant_pages = HANDED_ON, CONSTANT_PAGES
+    kinds = [("host", pa.string()), ("slot", pa.int64()), ("texts", pa.string()), ("n_on", pa.int64()), ("chars", pa.int64()), ("stays", pa.bool_()), ("heading", pa.bool_())]
 
-    constant_pages = CONSTANT_PAGES
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
 
-    def run(key: tuple, held: pa.Table) -> pa.Table:
-        order = sorted(zip(held["content"].to_pylist(), held["outline"].to_pylist()))
-        wrapper = infer([text for _, text in order], constant_pages)
-        found = [(key[0].as_py(), json.dumps(packed(wrapper), separators=(",", ":")))] if any(s.own for s in slots(wrapper)) else []
-        return pa.table([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], names=["host", "wrapper"])
+        def handed_on() -> pa.RecordBatch:
+            flat = [(*key, None if x[0] is None else json.dumps(list(x[0].items())), *x[1:]) for key, x in sums.held.items()]
+            sums.held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+        for batch in batches:
+            for host, text, expression in zip(*(batch.column(c).to_pylist() for c in ("host", "outline", "expression"))):
+                sums.page(host, expression or sent.value[host], text)
+                if len(sums.held) >= most_held:
+                    yield handed_on()
+        yield handed_on()
+
+    def decide(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, host, expression = Sums(), key[0].as_py(), "[]"
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["slot"] == -3:
+                    expression = r["texts"]
+                else:
+                    sums.add(host, r["slot"], None if r["texts"] is None else dict(map(tuple, json.loads(r["texts"]))), r["n_on"], r["chars"], r["stays"], r["heading"])
+        wrapper = sums.decided(host, expression, constant_pages)
+        found = [(host, shown(packed(wrapper)))] if any(s.own for s in slots(wrapper)) else []
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], names=["host", "wrapper"])
 
-    return outlines.groupBy("host").applyInArrow(run, "host string, wrapper string")
+    schema = "host string, slot long, texts string, n_on long, chars long, stays boolean, heading boolean"
+    counted = pages.select("host", "outline", "expression").mapInArrow(count, schema)
+    both = counted.unionByName(known.select("host", F.lit(-3).cast("long").alias("slot"), F.col("expression").alias("texts")), allowMissingColumns=True)
+    return both.groupBy("host").applyInArrow(decide, "host string, wrapper string")
 
 
 def main_text(page: str, wrapper: list[Term] | None) -> str:
@@ -599,8 +736,7 @@ def main_text(page: str, wrapper: list[Term] | None) -> str:
     found = blocks(root)
     gone: set[int] = set()
     if wrapper is not None:
-        texts = [(0, 0, b.stays, b.heading) for b in found]
-        gone = {i for i in read_through(wrapper, terms_of(outline(root, found), texts, 0)) if not found[i].stays}
+        gone = {i for slot, there in read_through(wrapper, terms_of(outline(root, found))) if slot.own for i in there if not found[i].stays}
     return "\n\n".join(b.text for i, b in enumerate(found) if b.main and i not in gone)
 
 

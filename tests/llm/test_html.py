@@ -262,3 +262,13 @@ def test_a_template_never_outweighs_what_differs():
     body = "<div class=intro><p>A report that all pages of the host carry, word for word.</p></div>"
     made = [f"<article><h1>Title {i}</h1><p>By {i}</p>{body}</article>" for i in range(20)]
     assert "report" in html.main_text(made[0], html.unpacked(html.packed(wrapper(made[:16]))))
+
+
+def test_all_pages_of_a_host_have_a_say(spark):
+    """The sixteen pages with the smallest hashes carry the same words where all others have their own."""
+    page = "<main><div class=box><b>{0}</b></div><div class=text><i>a text of page {1} that is long enough</i></div></main>"
+    hashed = lambda p: html.outlined(p)[0]
+    same = sorted((page.format("Same words", i) for i in range(300)), key=hashed)[:16]
+    own = [p for p in (page.format(f"Words {i}", i) for i in range(300, 500)) if hashed(p) > hashed(same[-1])][:100]
+    found = texts_of(spark, [(i, "http://a/", p) for i, p in enumerate(same + own)])
+    assert len(found) == 116 and all(found[i].startswith("Same words\n\n") for i in range(16)) and all(found[i].startswith("Words ") for i in range(16, 116))
